@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import mixing, sharding
+from lexiforge.llm import langid, mixing, quality, sharding
 from lexiforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,21 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that aren't held out."""
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_spans")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed"
+    )
+
+
 def queries() -> dict[str, Query]:
     """Name -> query."""
-    return {f.__name__: f for f in (op3_mix_sources, op7_sharding)}
+    return {f.__name__: f for f in (op3_mix_sources, op7_sharding, op8_language_id, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
