@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import langid, mixing, quality, sharding
+from lexiforge.llm import langid, mixing, quality, sharding, warc
 from lexiforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +38,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC bundles, then read back from them."""
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Query]:
     """Name -> query."""
-    return {f.__name__: f for f in (op3_mix_sources, op7_sharding, op8_language_id, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_mix_sources, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
