@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import langid, mixing, quality, sharding, warc
+from lexiforge.llm import bpe, langid, mixing, quality, sharding, warc
 from lexiforge.llm.common import table
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with the multilingual ranks and decoded again."""
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % takes of each document."""
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -45,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name -> query."""
-    return {f.__name__: f for f in (op3_mix_sources, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_mix_sources, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
