@@ -223,14 +223,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: hash buckets of (hash, rank, hash, rank, ...)."""
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    """The ranks as a literal: hash buckets, each a text of ",hash:rank" entries."""
+    buckets = [""] * BUCKETS
     for token, rank in ranks.items():
         key = xxhash.xxh64_intdigest(token, 42)
         key -= (1 << 64) if key >> 63 else 0
-        buckets[key % BUCKETS] += [key, rank]
-    text = "[" + ",".join("[" + ",".join(map(str, b)) + "]" for b in buckets) + "]"
-    return F.from_json(F.lit(text), "array<array<bigint>>")
+        buckets[key % BUCKETS] += f",{key}:{rank}"
+    return F.split(F.lit(";".join(buckets)), ";")
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -243,8 +242,8 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def rank(piece: Column) -> Column:
         key = F.xxhash64(piece)
         bucket = F.element_at(known, (F.pmod(key, F.lit(BUCKETS)) + 1).cast("int"))
-        at = F.array_position(bucket, key)
-        return F.when(at > 0, F.element_at(bucket, (at + 1).cast("int")))
+        after = F.split_part(bucket, F.concat(F.lit(","), key.cast("string"), F.lit(":")), F.lit(2))
+        return F.nullif(F.split_part(after, F.lit(","), F.lit(1)), F.lit("")).cast("bigint")
 
     def step(parts: Column, _: Column) -> Column:
         pairs = F.transform(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import bpe, langid, mixing, quality, sharding, warc
+from lexiforge.llm import bpe, langid, licenses, mixing, quality, sharding, warc
 from lexiforge.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % takes of each document."""
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -54,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name -> query."""
-    return {f.__name__: f for f in (op1_byte_bpe, op3_mix_sources, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_mix_sources, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
