@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import bpe, langid, licenses, mixing, quality, sharding, warc
+from lexiforge.llm import bpe, jaccard, langid, licenses, mixing, quality, sharding, warc
 from lexiforge.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard index of 0.9 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards whose row counts differ by one at most."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name -> query."""
-    return {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_mix_sources, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_mix_sources, op6_jaccard_join, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
