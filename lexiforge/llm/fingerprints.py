@@ -29,7 +29,7 @@ ROUNDS = 16
 #: Documents whose ids share a range of this width are ordered in one task.
 RANGE = 2048
 #: Cuts of a text into paragraphs: lines, and marks that follow one of some letters.
-CUT = r"\n+|(?<=[a-h][.!?,;]) | \| "
+CUT = r"\n+|(?<=[A-Ha-h][.!?,;#*$%&<>]{1,4}) | \| "
 
 _ENTRY = "struct<cell: bigint, n: bigint, k: bigint, c: bigint>"
 
