@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import bpe, fingerprints, jaccard, langid, licenses, mixing, quality, sharding, warc
+from lexiforge.llm import bpe, fingerprints, jaccard, langid, licenses, lm, mixing, quality, sharding, warc
 from lexiforge.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-mixing scores of every document."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.compare(table(spark, sf_dir, "documents"))
@@ -69,7 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name -> query."""
-    return {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_mix_sources, op5_fingerprints, op6_jaccard_join, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_mix_sources, op4_lm_scores, op5_fingerprints, op6_jaccard_join, op7_sharding, op8_language_id, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
