@@ -66,7 +66,7 @@ def text_edges(terms: DataFrame, least: float = 0.85) -> DataFrame:
     a = rows.select(F.col("pos").alias("pos1"), F.col("term").alias("src"), F.col("norm").alias("n1"))
     b = rows.select(F.col("pos").alias("pos2"), F.col("term").alias("dst"), F.col("norm").alias("n2"))
     pairs = pairs.join(a, "pos1").join(b, "pos2")
-    bound = F.least(F.length("n1"), F.length("n2")) >= F.greatest(F.length("n1"), F.length("n2")) * min(least / (2 - least), max(0.0, (least - 0.7) / 0.3))
+    bound = F.least(F.length("n1"), F.length("n2")) >= F.greatest(F.length("n1"), F.length("n2")) * (min(least / (2 - least), max(0.0, (least - 0.7) / 0.3)) - 1e-9)
     scored = pairs.where(bound).withColumn("weight", similarity_of("n1", "n2"))
     return scored.where(F.col("weight") >= least).select("src", "dst", "weight", F.lit("text").alias("edge_type"))
 
