@@ -5,14 +5,12 @@ For each host, the table's ``source``, the distinct documents of a line are coun
 lines above the host's limit are removed, and a document that loses most of its words
 is rejected as depleted.
 
-Copies of a document count as one: what is counted for a line is the distinct
-companions it stands with, the companion being the document's least line hash other
-than the line's own.  Two copies have the same one, two documents that share a passage
-hardly ever.  So a page that was copied a thousand times is not taken for boilerplate,
-and its one remaining copy survives.
+Exact copies of a text count as one document, so a page that was copied a thousand
+times is not taken for boilerplate.  The document with the smallest id that has a line
+keeps it: of a large family of near copies the first one stays whole.
 
 Scale: texts are read once and give a slim table of hashes.  The count is a distinct
-over (host, line, companion), which spreads a hot line over many tasks, then a count
+over (host, line, text), which spreads a hot line over many tasks, then a count
 with partial sums.  Only lines above a limit are joined back.
 """
 
@@ -33,7 +31,7 @@ MIN_WORDS = 50
 #: A line is above the limit of its host in more than this many distinct documents ...
 LINE_DOCS = 20
 #: ... and in more than this share of the host's documents.
-LINE_SHARE = 0.002
+LINE_SHARE = 0.01
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.3
 
@@ -41,7 +39,7 @@ SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
-LINE = pa.struct([("line", pa.int64()), ("companion", pa.int64()), ("words", pa.int64())])
+LINE = pa.struct([("line", pa.int64()), ("words", pa.int64())])
 MEASURES = pa.schema(
     [
         ("row", pa.int64()),
@@ -54,7 +52,7 @@ MEASURES = pa.schema(
 )
 MEASURES_DDL = (
     "row long, doc_id long, source string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, lines array<struct<line: long, companion: long, words: long>>"
+    "n_repeat_words long, lines array<struct<line: long, words: long>>"
 )
 
 
@@ -78,8 +76,8 @@ def repeated_words(words: list[bytes]) -> int:
     return count
 
 
-def measure(text: bytes) -> tuple[int, int, int, int, int, list[tuple[int, int, int]]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the distinct lines."""
+def measure(text: bytes) -> tuple[int, int, int, int, int, dict[int, int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the words by distinct line."""
     words = text.split()
     seen: set[bytes] = set()
     dups, lines = 0, {}
@@ -89,23 +87,20 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, list[tuple[int, int,
             seen.add(line)
             key = line_key(line)
             lines[key] = lines.get(key, 0) + n
-    least = sorted(lines)[:2]
-    other = least[-1] if least else 0
-    found = [(key, other if key == least[0] else least[0], n) for key, n in lines.items()]
     return (
         len(words),
         len(text.translate(None, SPACES).decode("utf-8", "replace")),
         len(text) - len(text.translate(None, SYMBOLS)),
         dups,
         repeated_words(words),
-        found,
+        lines,
     )
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in pieces(batches):
         n_words, chars, symbols, dups, repeats, lines = zip(*map(measure, texts))
-        found = pa.array([[{"line": a, "companion": b, "words": n} for a, b, n in x] for x in lines], type=MEASURES.field("lines").type)
+        found = pa.array([[{"line": key, "words": n} for key, n in x.items()] for x in lines], type=MEASURES.field("lines").type)
         kept = [rows.column(rows.schema.get_field_index(c)) for c in ("row", "doc_id", "source", "text_key")]
         yield batch_of(MEASURES, *kept, n_words, chars, symbols, dups, repeats, found)
 
@@ -123,12 +118,13 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def common_lines(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """source, line: the lines above the limit of their host."""
+    """source, line, first (the smallest id that has it): the lines above the limit of their host."""
     hosts = rows.groupBy("source").agg(F.greatest(F.lit(float(line_docs)), F.count("*") * F.lit(line_share)).alias("limit"))
-    seen = rows.select("source", F.explode("lines").alias("l")).select("source", "l.line", "l.companion").distinct()
-    counts = seen.groupBy("source", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
+    lines = rows.select("source", "text_key", "doc_id", F.explode("lines.line").alias("line"))
+    texts = lines.groupBy("source", "line", "text_key").agg(F.min("doc_id").alias("first"))
+    counts = texts.groupBy("source", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") > line_docs)
     over = counts.alias("c").join(hosts.alias("h"), F.col("c.source").eqNullSafe(F.col("h.source")))
-    return over.where(F.col("docs") > F.col("limit")).select("c.source", "line")
+    return over.where(F.col("docs") > F.col("limit")).select("c.source", "line", "first")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -139,9 +135,10 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     rows = measured(docs)
     common = materialise(common_lines(rows), "quality-lines")
-    lines = rows.select("row", "source", F.explode("lines").alias("l")).select("row", "source", "l.line", "l.words")
+    lines = rows.select("row", "doc_id", "source", F.explode("lines").alias("l")).select("row", "doc_id", "source", "l.line", "l.words")
     hit = F.col("l.source").eqNullSafe(F.col("c.source")) & (F.col("l.line") == F.col("c.line"))
-    removed = lines.alias("l").join(common.alias("c"), hit, "left_semi").groupBy("row").agg(F.sum("words").alias("n_removed"))
+    later = lines.alias("l").join(common.alias("c"), hit).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    removed = later.groupBy("row").agg(F.sum("words").alias("n_removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed")
     return (
