@@ -9,7 +9,7 @@ elements is cut into one position more than two sets of that level can differ in
 that two linked sets agree on a whole block of at least one position.  The index has a
 list for each (level, position, block): sets that share some shingles, a passage that
 stands in a million documents say, but agree on no whole block never meet.  A set is
-posted at its own level and at the next, which covers pairs on both sides of a border.
+posted at its own level and, if the next one holds sets that it can link with, there.
 
 *Candidates without pairs.*  The sets of a list are tied to its least member, not to
 each other, so candidates grow with the lists, not with their squares.  Connected ties
@@ -44,8 +44,11 @@ WIDTH = 3
 NUM, DEN = 90, 100
 #: Sets compared at once in one task.
 BLOCK = 1500
-#: Sizes up to this make a level each; beyond, a level spans a tenth.
+#: Sizes up to this make a level each; beyond, a level ends at ``SPAN`` times its start.
+#: Wide levels have more positions than their small sets need, narrow ones more sets at
+#: a border, which are posted twice; about 1.4 makes the fewest postings.
 FINE = 10
+SPAN = 1.4
 #: Blocks beyond what linked sets can differ in; see ``postings``.
 SPARE = 2
 
@@ -54,7 +57,7 @@ def levels(limit: int = 1 << 40) -> np.ndarray:
     """Smallest size of each level; a linked pair lies in one level or in two neighbours."""
     out = list(range(1, FINE + 1))
     while out[-1] < limit:
-        out.append(max(out[-1] + 1, out[-1] * DEN // NUM + 1))
+        out.append(int(out[-1] * SPAN))
     return np.array(out, dtype=np.int64)
 
 
@@ -101,7 +104,7 @@ def postings(keys: np.ndarray) -> np.ndarray:
     if len(keys):
         own = int(np.searchsorted(_LEVELS, len(keys), side="right")) - 1
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-        for level in (own, own + 1):
+        for level in (own, own + 1) if len(keys) * DEN // NUM >= _LEVELS[own + 1] else (own,):
             n = positions(level)
             if not n:
                 continue
