@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.arrow import batch_of, pieces
 
-#: Distinct words whose ids a worker keeps in each of two generations: when the younger
+#: Distinct words whose ids a task keeps in each of two generations: when the younger
 #: is full it becomes the older, whose words are forgotten and, if met again, found anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: More than any rank: the pair isn't a token.
 NONE = 1 << 60
 BUCKETS = 1 << 16
@@ -116,6 +116,10 @@ class Encoder:
             out += ids
         return out
 
+    def forget(self) -> None:
+        """Drop the words met, so that an idle worker holds no more than the ranks."""
+        self.ids, self.written, self.older = {}, {}, {}
+
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the pieces, concatenated."""
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -190,6 +194,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [rows.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        encoder.forget()
 
     ddl = f"doc_id {_kind(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return _packed(docs, "doc_id").mapInArrow(run, ddl)
@@ -204,6 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for rows, texts in pieces(batches):
             ids = pa.array([encoder.encode(t.decode("utf-8", "replace")) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column(0), ids], names=["doc_id", "ids"])
+        encoder.forget()
 
     return _packed(docs, "doc_id").mapInArrow(run, f"doc_id {_kind(docs, 'doc_id')}, ids array<int>")
 

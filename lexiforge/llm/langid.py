@@ -26,6 +26,8 @@ from lexiforge.llm.arrow import batch_of, pieces
 
 SAMPLE_DOCS = 2000
 BUCKETS = 1 << 17
+#: Text scored at once, in bytes; it takes some sixty times as much memory.
+SCORE_BYTES = 1_500_000
 SMOOTHING = 0.5
 SWITCH_PENALTY = 8.0
 #: A language writes the scripts with at least this share of its letters.
@@ -94,7 +96,7 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
-    for rows, texts in pieces(batches):
+    for rows, texts in pieces(batches, limit=SCORE_BYTES):
         langs = rows.column(rows.schema.get_field_index("lang")).to_pylist()
         for lang in sorted(set(langs)):
             words = words_of([t for t, x in zip(texts, langs) if x == lang])
@@ -214,7 +216,7 @@ def spans(model: Model, text: str) -> list[tuple[int, int, str]]:
 
 def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k = len(model.langs)
-    for rows, texts in pieces(batches):
+    for rows, texts in pieces(batches, limit=SCORE_BYTES):
         n = len(texts)
         if not k:
             pred, share, runs = [UNKNOWN] * n, np.zeros(n), np.zeros(n, int)
