@@ -118,7 +118,7 @@ def postings(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-SETS_DDL = "doc_id long, n_shingles long, d1 long, d2 long, posts array<long>"
+SETS_DDL = "doc_id long, n_shingles long, d1 long, d2 long, posts array<long>, near array<long>"
 
 
 def _digest(keys: np.ndarray) -> tuple[int, int]:
@@ -126,29 +126,55 @@ def _digest(keys: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.frombuffer(xxhash.xxh3_128_digest(keys.tobytes()), np.int64))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))
+
+
+def _led(keys: np.ndarray, posts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each set of a piece the postings that it leads there, and the leaders of its others.
+
+    Only a leader's posting leaves the piece: a list that very many sets are in has a
+    row for each piece, not for each set.
+    """
+    owner = np.repeat(np.arange(len(posts)), [len(x) for x in posts])
+    post = np.concatenate(posts)
+    order = np.lexsort((keys[owner], post))
+    post, owner = post[order], owner[order]
+    first = np.concatenate([[True], post[1:] != post[:-1]]) if len(post) else np.zeros(0, bool)
+    leader = keys[owner[np.flatnonzero(first)]][np.cumsum(first) - 1] if len(post) else post
+    tied = ~first & (leader != keys[owner])
+
+    def by_set(where: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+        of = owner[where]
+        place = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[place], np.arange(1, len(posts)))
+        return [np.unique(x) for x in np.split(values[where][place], cuts)]
+
+    return by_set(first, post), by_set(tied, leader)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in pieces(batches):
         found = [shingles(t) for t in texts]
         digests = np.array([_digest(k) for k in found], np.int64)
-        posts = [postings(k) for k in found]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in posts])]).astype(np.int32)
+        posts, near = _led(digests[:, 0], [postings(k) for k in found])
         yield pa.RecordBatch.from_arrays(
-            [
-                rows.column(0),
-                pa.array([len(k) for k in found], pa.int64()),
-                pa.array(digests[:, 0]),
-                pa.array(digests[:, 1]),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(posts))),
-            ],
-            names=["doc_id", "n_shingles", "d1", "d2", "posts"],
+            [rows.column(0), pa.array([len(k) for k in found], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(posts), _lists(near)],
+            names=["doc_id", "n_shingles", "d1", "d2", "posts", "near"],
         )
 
 
 def ties(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between class keys: each list's members to its least one."""
-    posted = sets.where("n_shingles > 0").select(F.explode("posts").alias("post"), F.col("d1").alias("a"))
-    lists = posted.groupBy("post").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b != z").drop("z")
-    return posted.join(lists, "post").where("a != b").select("a", "b").distinct()
+    """Edges (a, b) between class keys: each list's members to its least one.
+
+    Members were tied to their piece's leader already; here the leaders of a list meet.
+    """
+    posted = sets.select(F.explode("posts").alias("post"), F.col("d1").alias("a"))
+    least = F.min("a").over(Window.partitionBy("post"))
+    across = posted.withColumn("b", least).where("a <> b").select("a", "b")
+    inside = sets.select(F.col("d1").alias("a"), F.explode("near").alias("b"))
+    return across.unionByName(inside).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
