@@ -1,10 +1,11 @@
 """Exact Jaccard self-join of word shingle sets, by skipping over set relations.
 
-Sets of 3-word shingles link when intersection >= 0.9 union.  The result is a row for
-each document with the smallest id that it reaches by links.
+Sets of word shingles link when intersection >= threshold * union; a ``Rule`` has the
+width and the threshold (``OP6``: 3 words and 0.9, ``NEAR``: 5 words and 0.8).  The
+result is a row for each document with the smallest id that it reaches by links.
 
 *Skipping in the index.*  A linked pair of sizes a and b differs in at most
-(a + b) / 19 elements.  Sizes fall into levels; at a level, the hash range of the
+(a + b) (1 - threshold) / (1 + threshold) elements, (a + b) / 19 at 0.9.  Sizes fall into levels; at a level, the hash range of the
 elements is cut into one position more than two sets of that level can differ in, so
 that two linked sets agree on a whole block of at least one position.  The index has a
 list for each (level, position, block): sets that share some shingles, a passage that
@@ -29,6 +30,8 @@ differ are compared block by block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,6 @@ from pyspark.sql import functions as F
 from lexiforge.llm.arrow import pieces
 from lexiforge.llm.common import materialise
 
-WIDTH = 3
-#: Two sets link when NUM * union <= DEN * intersection.
-NUM, DEN = 90, 100
 #: Sets compared at once in one task.
 BLOCK = 1500
 #: Sizes up to this make a level each; beyond, a level ends at ``SPAN`` times its start.
@@ -53,37 +53,65 @@ SPAN = 1.4
 SPARE = 2
 
 
-def levels(limit: int = 1 << 40) -> np.ndarray:
+@dataclass(frozen=True)
+class Rule:
+    """Shingles of ``width`` words; two sets link when num * union <= den * intersection.
+
+    ``spare`` are further blocks beyond ``SPARE``, as a share of what linked sets can
+    differ in: the lower the threshold, the fewer elements a block has and the more
+    blocks of a set are empty.
+    """
+
+    width: int
+    num: int
+    den: int
+    spare: float = 0.0
+
+
+OP6 = Rule(3, 90, 100)
+NEAR = Rule(5, 80, 100, 0.2)
+
+
+@cache
+def levels(rule: Rule = OP6, limit: int = 1 << 40) -> np.ndarray:
     """Smallest size of each level; a linked pair lies in one level or in two neighbours."""
-    out = list(range(1, FINE + 1))
+    out = [1]
     while out[-1] < limit:
-        out.append(int(out[-1] * SPAN))
+        at = out[-1]
+        fine = at < FINE and at * rule.den // rule.num <= at + 1
+        # sets of the level before link up to this size
+        reach = (at - 1) * rule.den // rule.num
+        out.append(max(at + 1, reach + 1, 0 if fine else int(at * SPAN)))
     return np.array(out, dtype=np.int64)
 
 
-_LEVELS = levels()
+@cache
+def positions(level: int, rule: Rule = OP6) -> tuple[int, int]:
+    """Blocks at a level, and how many of them at most a set may have empty without posting these.
 
-
-def positions(level: int) -> int:
-    """Blocks at a level: ``SPARE`` and one more than two linked sets posted there can differ in."""
-    largest = int(_LEVELS[level + 1]) - 1
-    most = (DEN - NUM) * 2 * largest // (DEN + NUM)
-    return most + 1 + SPARE if most else 0  # sets that can't differ are one class already
+    There is one more than two linked sets posted there can differ in, and the spare ones.
+    """
+    largest = int(levels(rule)[level + 1]) - 1
+    most = (rule.den - rule.num) * 2 * largest // (rule.den + rule.num)
+    spare = SPARE + int(rule.spare * most)
+    return (most + 1 + spare if most else 0), spare  # sets that can't differ are one class already
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 3-word shingles; a shorter text is one shingle."""
+def shingles(text: bytes, width: int = OP6.width) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``width`` words; a shorter text is one shingle."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) < WIDTH:
+    if len(words) < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
     digest = xxhash.xxh64_intdigest
     known = {w: digest(w) for w in set(words)}
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = len(words) - width + 1
     with np.errstate(over="ignore"):
-        key = _mixed(_mixed(h[:-2]) + np.uint64(3) * h[1:-1])
-        key = _mixed(key + np.uint64(5) * h[2:])
+        key = _mixed(h[:n])
+        for k in range(1, width):
+            key = _mixed(key + np.uint64(2 * k + 1) * h[k : k + n])
     return np.unique(key)
 
 
@@ -94,18 +122,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def postings(keys: np.ndarray) -> np.ndarray:
+def postings(keys: np.ndarray, rule: Rule = OP6) -> np.ndarray:
     """The lists that a set is posted in, as signed 64-bit keys.
 
-    Linked sets agree on more than ``SPARE`` blocks.  A set with at most ``SPARE``
+    Linked sets agree on more blocks than the spare ones.  A set with at most so many
     empty ones agrees on a full one and isn't posted for its empty ones.
     """
     out = [np.zeros(0, np.uint64)]
     if len(keys):
-        own = int(np.searchsorted(_LEVELS, len(keys), side="right")) - 1
+        starts = levels(rule)
+        own = int(np.searchsorted(starts, len(keys), side="right")) - 1
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-        for level in (own, own + 1) if len(keys) * DEN // NUM >= _LEVELS[own + 1] else (own,):
-            n = positions(level)
+        for level in (own, own + 1) if len(keys) * rule.den // rule.num >= starts[own + 1] else (own,):
+            n, spare = positions(level, rule)
             if not n:
                 continue
             edges = (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
@@ -114,7 +143,7 @@ def postings(keys: np.ndarray) -> np.ndarray:
             block = sums[at[1:]] - sums[at[:-1]]
             place = np.arange(n, dtype=np.uint64) + np.uint64(level << 32)
             key = _mixed(_mixed(block + size) ^ _mixed(place))
-            out.append(key if (size == 0).sum() > SPARE else key[size > 0])
+            out.append(key if (size == 0).sum() > spare else key[size > 0])
     return np.concatenate(out).view(np.int64)
 
 
@@ -154,11 +183,11 @@ def _led(keys: np.ndarray, posts: list[np.ndarray]) -> tuple[list[np.ndarray], l
     return by_set(first, post), by_set(tied, leader)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for rows, texts in pieces(batches):
-        found = [shingles(t) for t in texts]
+        found = [shingles(t, rule.width) for t in texts]
         digests = np.array([_digest(k) for k in found], np.int64)
-        posts, near = _led(digests[:, 0], [postings(k) for k in found])
+        posts, near = _led(digests[:, 0], [postings(k, rule) for k in found])
         yield pa.RecordBatch.from_arrays(
             [rows.column(0), pa.array([len(k) for k in found], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(posts), _lists(near)],
             names=["doc_id", "n_shingles", "d1", "d2", "posts", "near"],
@@ -218,7 +247,7 @@ def _bits(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def members(docs: DataFrame, wanted: DataFrame, rule: Rule = OP6) -> DataFrame:
     """doc_id, d1, d2 and the set (bytes) of the rows of ``docs`` whose id may be in ``wanted``."""
     sent = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
@@ -229,7 +258,7 @@ def members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = _slots(ids)
             batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
             for rows, texts in pieces(iter([batch])):
-                found = [shingles(t) for t in texts]
+                found = [shingles(t, rule.width) for t in texts]
                 digests = np.array([_digest(k) for k in found], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([k.tobytes() for k in found], pa.binary())],
@@ -239,7 +268,7 @@ def members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _plain(docs).mapInArrow(run, "doc_id long, d1 long, d2 long, shingles binary")
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], rule: Rule = OP6) -> np.ndarray:
     """Which of ``sets`` link, from their differences to one pivot."""
     size = np.array([len(x) for x in sets], np.int64)
     pivot = sets[int(np.argsort(size, kind="stable")[len(sets) // 2])]
@@ -258,7 +287,7 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
                 overlap[np.ix_(owner[a:b], owner[a:b])] += 1
         np.fill_diagonal(overlap, size)
     union = size[:, None] + size[None, :] - overlap
-    return DEN * overlap >= NUM * union
+    return rule.den * overlap >= rule.num * union
 
 
 def roots(link: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -279,11 +308,11 @@ def roots(link: np.ndarray, start: np.ndarray) -> np.ndarray:
 SOLVED = "f long, d1 long, d2 long, old long, root long"
 
 
-def _solve(table: pa.Table) -> pa.Table:
+def _solve(table: pa.Table, rule: Rule) -> pa.Table:
     """Rows (f, d1, d2, label, shingles) with the labels that links join."""
     d1, d2, old = (table.column(c).to_numpy() for c in ("d1", "d2", "label"))
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
-    root = roots(linked(sets), old) if len(sets) > 1 and len(set(old.tolist())) > 1 else old
+    root = roots(linked(sets, rule), old) if len(sets) > 1 and len(set(old.tolist())) > 1 else old
     names = ["f", "d1", "d2", "old", "root"]
     return pa.table([table.column("f").combine_chunks(), pa.array(d1), pa.array(d2), pa.array(old), pa.array(root)], names=names)
 
@@ -299,16 +328,20 @@ def _merged(rows: DataFrame, joined: DataFrame) -> DataFrame:
     )
 
 
-def solve(family: DataFrame) -> DataFrame:
+def solve(family: DataFrame, rule: Rule = OP6) -> DataFrame:
     """d1, d2, label of every set of ``family`` (f, d1, d2, shingles): equal labels, one component.
 
     ``label`` starts as a number for each set.
     """
+
+    def solved(table: pa.Table) -> pa.Table:
+        return _solve(table, rule)
+
     counted = family.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = family.join(counted, "f").withColumn("label", F.monotonically_increasing_id())
     rows = materialise(rows.withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int")), "jaccard-family")
     small = rows.select("f", "block", "d1", "d2", "label", "shingles")
-    first = small.groupBy("f", "block").applyInArrow(_solve, SOLVED)
+    first = small.groupBy("f", "block").applyInArrow(solved, SOLVED)
     rows = _merged(rows, materialise(first, "jaccard-first"))
     large = rows.where("blocks > 1")
     if large.isEmpty():
@@ -316,7 +349,7 @@ def solve(family: DataFrame) -> DataFrame:
     # the leaders of what the blocks found, in blocks again
     leaders = large.groupBy("f", "block", "label").agg(F.min_by(F.struct("d1", "d2", "shingles"), F.struct("d1", "d2")).alias("s"))
     leaders = leaders.select("f", "label", "s.*").withColumn("deal", F.pmod(F.xxhash64("label"), F.ceil(F.count("*").over(Window.partitionBy("f")) / BLOCK)))
-    second = leaders.groupBy("f", "deal").applyInArrow(_solve, SOLVED)
+    second = leaders.groupBy("f", "deal").applyInArrow(solved, SOLVED)
     rows = _merged(rows, materialise(second, "jaccard-leaders"))
     # families that still differ: every pair of blocks
     differ = rows.where("blocks > 1").groupBy("f").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("f")
@@ -324,7 +357,7 @@ def solve(family: DataFrame) -> DataFrame:
         return rows.select("d1", "d2", "label")
     left = rows.join(differ, "f", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    third = left.select("f", "i", "j", "d1", "d2", "label", "shingles").groupBy("f", "i", "j").applyInArrow(_solve, SOLVED)
+    third = left.select("f", "i", "j", "d1", "d2", "label", "shingles").groupBy("f", "i", "j").applyInArrow(solved, SOLVED)
     return _merged(rows, materialise(third, "jaccard-pairs")).select("d1", "d2", "label")
 
 
@@ -332,23 +365,27 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, rule: Rule = OP6) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
     A null text or one without words has an empty set, links with nothing and is its own
     component.  Null ids come after all others; rows with the same id are told apart by
     their sets; repeated rows link; other columns are ignored; an empty table gives no rows.
     """
-    sets = materialise(_plain(docs).mapInArrow(_sets, SETS_DDL), "jaccard-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sets(batches, rule)
+
+    sets = materialise(_plain(docs).mapInArrow(run, SETS_DDL), "jaccard-sets")
     classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     families = components(materialise(ties(sets), "jaccard-ties"), "jaccard-families")
     near = materialise(classes.join(families.select(F.col("node").alias("d1"), F.col("root").alias("f")), "d1"), "jaccard-near")
-    chosen = members(docs, near.select("first")).alias("m").join(
+    chosen = members(docs, near.select("first"), rule).alias("m").join(
         near.alias("n"),
         (F.col("m.d1") == F.col("n.d1")) & (F.col("m.d2") == F.col("n.d2")) & F.col("doc_id").eqNullSafe(F.col("first")),
     )
     chosen = chosen.select("f", "n.d1", "n.d2", "shingles").dropDuplicates(["d1", "d2"])
-    labels = solve(chosen)
+    labels = solve(chosen, rule)
     labelled = classes.join(labels, ["d1", "d2"], "left")
     least = labelled.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
     found = labelled.join(least, "label", "left").select("d1", "d2", F.coalesce("least", "first").alias("component_id"))
@@ -356,7 +393,7 @@ def join(docs: DataFrame) -> DataFrame:
     return full.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, rule: Rule = OP6) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with all columns."""
-    first = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    first = join(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
