@@ -2,8 +2,8 @@
 
 Lines are normalised (ASCII lower case, digits as 0, white space squeezed) and hashed.
 For each host, the table's ``source``, the distinct documents of a line are counted;
-lines above the host's limit are removed, and a document that loses most of its words
-is rejected as depleted.
+lines in more than ``LINE_DOCS`` of them are above the limit, whatever the size of the
+host, and a document that loses most of its words to them is rejected as depleted.
 
 Exact copies of a text count as one document, so a page that was copied a thousand
 times is not taken for boilerplate.  The document with the smallest id that has a line
@@ -28,10 +28,8 @@ from lexiforge.llm.arrow import batch_of, pieces
 from lexiforge.llm.common import materialise
 
 MIN_WORDS = 50
-#: A line is above the limit of its host in more than this many distinct documents ...
+#: A line is above the limit of its host in more than this many distinct documents.
 LINE_DOCS = 20
-#: ... and in more than this share of the host's documents.
-LINE_SHARE = 0.01
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.3
 
@@ -117,14 +115,12 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(_measure, MEASURES_DDL), "quality")
 
 
-def common_lines(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def common_lines(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     """source, line, first (the smallest id that has it): the lines above the limit of their host."""
-    hosts = rows.groupBy("source").agg(F.greatest(F.lit(float(line_docs)), F.count("*") * F.lit(line_share)).alias("limit"))
     lines = rows.select("source", "text_key", "doc_id", F.explode("lines.line").alias("line"))
     texts = lines.groupBy("source", "line", "text_key").agg(F.min("doc_id").alias("first"))
-    counts = texts.groupBy("source", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") > line_docs)
-    over = counts.alias("c").join(hosts.alias("h"), F.col("c.source").eqNullSafe(F.col("h.source")))
-    return over.where(F.col("docs") > F.col("limit")).select("c.source", "line", "first")
+    counts = texts.groupBy("source", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
+    return counts.where(F.col("docs") > line_docs).select("source", "line", "first")
 
 
 def judge(docs: DataFrame) -> DataFrame:
