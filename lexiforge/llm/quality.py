@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiforge.llm.arrow import batch_of, pieces
 from lexiforge.llm.common import materialise
@@ -124,7 +125,7 @@ def common_lines(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Measures, base_failed, n_removed (words in common lines) and kept of every row.
+    """Measures, base_failed, n_removed (words in common lines), removed (these lines) and kept of every row.
 
     A null text has no words and fails; a null source is a host of its own; repeated
     rows are judged one by one; other columns are ignored; an empty table gives no rows.
@@ -134,7 +135,7 @@ def judge(docs: DataFrame) -> DataFrame:
     lines = rows.select("row", "doc_id", "source", F.explode("lines").alias("l")).select("row", "doc_id", "source", "l.line", "l.words")
     hit = F.col("l.source").eqNullSafe(F.col("c.source")) & (F.col("l.line") == F.col("c.line"))
     later = lines.alias("l").join(common.alias("c"), hit).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    removed = later.groupBy("row").agg(F.sum("words").alias("n_removed"))
+    removed = later.groupBy("row").agg(F.sum("words").alias("n_removed"), F.collect_list("c.line").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed")
     return (
@@ -146,13 +147,37 @@ def judge(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns and whole texts."""
-    verdicts = judge(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    hit = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    return docs.join(verdicts, hit, "left_semi")
-
-
 def strip(text: bytes, common: set[int]) -> bytes:
     """``text`` without the lines whose keys are in ``common``."""
     return b"\n".join(x for x in text.split(b"\n") if not x.split() or line_key(x) not in common)
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the lines of the last column, ``__removed``, taken out of ``text``; the column goes."""
+    for batch in batches:
+        at, n = batch.schema.get_field_index("text"), batch.num_columns - 1
+        for rows, texts in pieces(iter([batch])):
+            gone = rows.column(n)
+            if gone.null_count < len(gone):
+                old = rows.column(at)
+                left = [strip(t, set(g.as_py())).decode() if g.is_valid else o.as_py() for t, g, o in zip(texts, gone, old)]
+                rows = rows.set_column(at, batch.schema.field(at), pa.array(left, old.type))
+            yield rows.select(range(n))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns; common lines are taken out of their texts.
+
+    A column ``n_chars`` follows the text that is left.
+    """
+    keys = ("doc_id", "source", "text_key")
+    verdicts = judge(docs).where("kept").select(*(F.col(c).alias(f"__{c}") for c in keys), F.col("removed").alias("__removed"))
+    verdicts = verdicts.dropDuplicates([f"__{c}" for c in keys])  # repeated rows lose the same lines
+    hit = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__text_key"))
+    kept = docs.join(verdicts, hit)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("__stripped", F.col("__removed").isNotNull())
+        flagged = kept.select(*docs.columns, "__stripped", "__removed").mapInArrow(_strip, T.StructType([*docs.schema, T.StructField("__stripped", T.BooleanType())]))
+        count = F.when(F.col("__stripped"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        return flagged.withColumn("n_chars", count).drop("__stripped")
+    return kept.select(*docs.columns, "__removed").mapInArrow(_strip, docs.schema)
