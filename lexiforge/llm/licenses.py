@@ -31,7 +31,7 @@ ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 #: A match of any rule has one of these stems (for "cc", "by" too).
-STEMS = ("licen", "reserved", "copyright", "spdx", "creative", "domain", "warrant", "redistribut", "permission", "gpl", "copyleft", "proprietary", "cc0")
+STEMS = ("licen", "reserved", "copyright", "spdx", "creative", "domain", "warrant", "redistribut", "permission", "gpl", "copyleft", "proprietary", "cc0", "bsd", "reproduced")
 
 #: label, pattern of the name, keyword, versions
 FAMILIES = (
