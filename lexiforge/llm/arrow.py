@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,3 +33,10 @@ def batch_of(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     """A record batch from columns (arrays, NumPy arrays or lists) in the order of ``schema``."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

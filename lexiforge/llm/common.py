@@ -53,6 +53,47 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more rows than this, and than all rows by ``HOT_KEYS``, is handled apart.
+HOT_ROWS = 1000
+#: Keys that can hold more than this share of the rows: their values are broadcast.
+HOT_KEYS = 1000
+#: Ids that are broadcast at most; more are joined by a shuffle.
+SENT_IDS = 1_000_000
+
+
+def attach(rows: DataFrame, values: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with the columns of ``values`` (a row for each key) added; null without an entry.
+
+    A key that holds very many rows doesn't meet in one task: there are ``HOT_KEYS`` of
+    these at most, and their values are broadcast; the others are joined by a shuffle.
+    Null keys match nothing.  ``rows`` is read twice and should be a written table.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    counts = materialise(counts, f"{name}-counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = counts.where(F.col("__n") > max(HOT_ROWS, total // HOT_KEYS)).drop("__n")
+    if hot.isEmpty():
+        return rows.join(values, list(keys), "left")
+    hot = materialise(hot.join(values, list(keys)), f"{name}-hot")
+    cold = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(values, list(keys), "left")
+    return cold.unionByName(rows.join(F.broadcast(hot), list(keys)))
+
+
+def met(docs: DataFrame, found: DataFrame, on: Column, how: str = "left_semi", weight: Column | None = None) -> DataFrame:
+    """``docs`` joined with ``found``, a written table, so that texts stay where they are if that can be.
+
+    ``found`` is broadcast if it has at most ``SENT_IDS`` rows (or sum of ``weight``);
+    beyond that the join shuffles.
+    """
+    count = found.agg(F.sum(weight) if weight is not None else F.count("*")).first()[0] or 0
+    return docs.join(F.broadcast(found) if count <= SENT_IDS else found, on, how)
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose doc_id is (``left_anti``: isn't) in ``ids``, a written table with a column id; null counts."""
+    return met(docs, ids.select(F.col("id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), how)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm

@@ -225,17 +225,6 @@ def test_jaccard_families_larger_than_a_block(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in out.items()} == brute.components(rows)
 
 
-def test_linked_sets_share_a_list():
-    rng = np.random.default_rng(4)
-    for n in (9, 10, 11, 13, 19, 40, 137, 600, 2500):
-        for _ in range(40):
-            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-            for d in range(len(a) // 10 + 1):
-                b = a[d:]
-                if 100 * len(b) >= 90 * len(a) and len(b) < len(a):
-                    assert len(np.intersect1d(jaccard.postings(a), jaccard.postings(b))), (n, d)
-
-
 def test_sharding(docs, texts):
     out = sharding.shard(docs, 4).collect()
     assert len(out) == len(awkward())
