@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.arrow import batch_of, pieces
+from lexiforge.llm.arrow import batch_of, give_back, pieces
 
 #: Distinct words whose ids a task keeps in each of two generations: when the younger
 #: is full it becomes the older, whose words are forgotten and, if met again, found anew.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 60_000
 #: More than any rank: the pair isn't a token.
 NONE = 1 << 60
 BUCKETS = 1 << 16
@@ -195,6 +195,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
         encoder.forget()
+        give_back()
 
     ddl = f"doc_id {_kind(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return _packed(docs, "doc_id").mapInArrow(run, ddl)
@@ -210,6 +211,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = pa.array([encoder.encode(t.decode("utf-8", "replace")) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column(0), ids], names=["doc_id", "ids"])
         encoder.forget()
+        give_back()
 
     return _packed(docs, "doc_id").mapInArrow(run, f"doc_id {_kind(docs, 'doc_id')}, ids array<int>")
 

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.arrow import batch_of, pieces
+from lexiforge.llm.arrow import batch_of, give_back, pieces
+from lexiforge.llm.common import materialise, met
 
 SAMPLE_DOCS = 2000
 BUCKETS = 1 << 17
@@ -236,6 +237,7 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             + [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(runs, pa.int64())],
             names=[f.name for f in rows.schema if f.name != "text"] + ["lang_pred", "score", "n_spans"],
         )
+    give_back()
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
@@ -267,8 +269,12 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def keep(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a language in spans of at least ``least_score`` of the letters."""
+    """The rows of ``docs`` with a language in spans of at least ``least_score`` of the letters, with all columns.
+
+    A null text or one without letters goes, and so do all its repeats; a null id is an
+    id like others; columns may have any names; an empty table gives no rows.
+    """
     rows = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.col("text").cast("string").alias("text"))
-    good = predict(rows, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    good = good.select(F.col("doc_id").alias("__id"), "__key").distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_semi")
+    bad = predict(rows, fit(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))
+    bad = materialise(bad.select(F.col("doc_id").alias("__id"), "__key").distinct(), "language-rejects")
+    return met(docs, bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiforge.llm.arrow import batch_of, pieces
-from lexiforge.llm.common import materialise
+from lexiforge.llm.arrow import batch_of, give_back, pieces
+from lexiforge.llm.common import materialise, met
 
 MIN_WORDS = 50
 #: A line is above the limit of its host in more than this many distinct documents.
@@ -102,6 +102,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pa.array([[{"line": key, "words": n} for key, n in x.items()] for x in lines], type=MEASURES.field("lines").type)
         kept = [rows.column(rows.schema.get_field_index(c)) for c in ("row", "doc_id", "source", "text_key")]
         yield batch_of(MEASURES, *kept, n_words, chars, symbols, dups, repeats, found)
+    give_back()
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -163,18 +164,23 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left = [strip(t, set(g.as_py())).decode() if g.is_valid else o.as_py() for t, g, o in zip(texts, gone, old)]
                 rows = rows.set_column(at, batch.schema.field(at), pa.array(left, old.type))
             yield rows.select(range(n))
+    give_back()
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; common lines are taken out of their texts.
 
-    A column ``n_chars`` follows the text that is left.
+    A column ``n_chars`` follows the text that is left.  A null text has no words and
+    goes; null ids and sources are values like others; repeated rows have one verdict
+    and lose the same lines; columns may have any names; an empty table gives no rows.
     """
-    keys = ("doc_id", "source", "text_key")
-    verdicts = judge(docs).where("kept").select(*(F.col(c).alias(f"__{c}") for c in keys), F.col("removed").alias("__removed"))
-    verdicts = verdicts.dropDuplicates([f"__{c}" for c in keys])  # repeated rows lose the same lines
+    names = ("doc_id", "source", "text_key")
+    keys = [F.col(c).alias(f"__{c}") for c in names]
     hit = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__text_key"))
-    kept = docs.join(verdicts, hit)
+    verdicts = materialise(judge(docs).select(*names, "kept", "removed").dropDuplicates(list(names)), "quality-verdicts")
+    bad = verdicts.where("not kept").select(*keys)
+    cut = verdicts.where("kept and removed is not null").select(*keys, F.col("removed").alias("__removed"))
+    kept = met(met(docs, bad, hit, "left_anti"), cut, hit, "left", weight=F.size("__removed"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("__stripped", F.col("__removed").isNotNull())
         flagged = kept.select(*docs.columns, "__stripped", "__removed").mapInArrow(_strip, T.StructType([*docs.schema, T.StructField("__stripped", T.BooleanType())]))
