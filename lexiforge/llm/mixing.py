@@ -2,19 +2,21 @@
 
 1. Sources get a target number of words from their weights; a target stops at
    ``MAX_REPEAT`` times the source's size and the excess is reshared by weight.
-2. The documents of a source are dealt into ``BLOCKS`` blocks by a hash.  A target is
-   turned into an exact quota of blocks: whole passes over the source, then blocks in
-   a permuted order as far as they fit.
+2. The documents of a source are dealt into blocks by a hash, ``BLOCKS`` or, in a large
+   corpus, as many more as it has ``BLOCK_WORDS``.  A target is turned into an exact
+   quota of blocks: whole passes over the source, then as many blocks as the rest asks
+   for.
 3. The vector of quotas is split recursively among the output shards.  Each split
    draws half of a node's blocks without replacement, so the counts of the sources in
    a half follow the multivariate hypergeometric distribution and add up exactly.
 4. Each shard takes its quota as a run of the source's permuted blocks; the runs are
-   disjoint.  Rows of a shard are then shuffled locally.
+   disjoint.  Rows of a shard are then shuffled locally.  The number of shards follows
+   the size of the mix (``SHARD_WORDS``).
 
 Only DataFrame and SQL functions are used.  The texts are read once for their sizes;
-all that follows handles (source, block) rows, at most ``BLOCKS`` for each source, so
-a source that holds a third of all rows costs no more than another.  Hashes take the
-place of a random generator: reruns agree.
+all that follows handles (source, block) rows, so a source that holds a third of all
+rows costs no more than another.  Hashes take the place of a random generator: reruns
+agree.
 """
 
 from __future__ import annotations
@@ -24,25 +26,39 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.common import WORD, materialise, text_of
 
+#: Blocks of a source at least, and words of the corpus that ask for one more.
 BLOCKS = 512
+BLOCK_WORDS = 1 << 22
+#: Shards at least, and words of the mix that ask for one more.
+SHARDS = 16
+SHARD_WORDS = 1 << 21
 MAX_REPEAT = 2
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
-SHARDS = 16
 FILL_ROUNDS = 3
 
 
-def block_of(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The block of a document inside its source."""
-    return F.pmod(F.xxhash64(F.col(doc_id), F.length(F.col(text))), F.lit(BLOCKS)).cast("int")
+def place_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The hash that deals a document to a block of its source."""
+    return F.xxhash64(F.col(doc_id), F.length(F.col(text)))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, block and size in words of every row, as a written table."""
-    return materialise(
-        docs.select("doc_id", "source", block_of().alias("block"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")),
-        "mixing",
-    )
+def block_of(place: Column, blocks: int) -> Column:
+    """The block of a place."""
+    return F.pmod(place, F.lit(blocks)).cast("int")
+
+
+def sizes(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, source, block and size in words of every row, from a written table, and the number of blocks."""
+    rows = materialise(docs.select("doc_id", "source", place_of().alias("place"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")), "mixing")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    blocks = max(BLOCKS, _power(total // BLOCK_WORDS))
+    return rows.select("doc_id", "source", block_of(F.col("place"), blocks).alias("block"), "size"), blocks
+
+
+def _power(n: int) -> int:
+    """The least power of two that isn't below ``n``."""
+    return 1 << max(0, n - 1).bit_length()
 
 
 def targets(blocks: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL) -> DataFrame:
@@ -163,11 +179,13 @@ def split_tree(counts: DataFrame, shards: int = SHARDS) -> DataFrame:
     return node.select("shard", F.posexplode("counts").alias("nth", "quota"))
 
 
-def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(targets by source, draws): a draw is source, block, pass and its shard."""
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, shards: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(targets by source, draws, shards): a draw is source, block, pass and its shard."""
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     blocks = materialise(blocks, "mixing-blocks")
     aims = materialise(targets(blocks, weights, total), "mixing-targets")
+    if shards is None:
+        shards = max(SHARDS, _power(int(aims.agg(F.sum("target")).first()[0] or 0) // SHARD_WORDS))
     taken = quotas(blocks, aims).where("times > 0")
     taken = taken.select("source", "nth", "block", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass"))
     order = Window.partitionBy("nth").orderBy(F.xxhash64(F.lit("draw"), "source", "block", "pass"), "block", "pass")
@@ -182,39 +200,50 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOT
         .select("shard", F.col("nth").alias("entry"), F.explode(F.expr("transform(sequence(start + 1, start + quota), d -> int(d))")).alias("draw"))
         .join(listed, "entry")
     )
-    return aims, taken.join(runs, ["nth", "draw"]).select("source", "block", "pass", "shard")
+    return aims, taken.join(runs, ["nth", "draw"]).select("source", "block", "pass", "shard"), shards
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of each row.
+    """doc_id, size, source_size, target, taken (words, repeats counted) and shards of each row.
 
-    A null text has no words; a null source is a source of its own, the last; repeated
-    rows are mixed one by one; other columns are ignored; an empty table gives no rows.
+    ``shards`` lists the output shards that draw the row.  A null text has no words; a
+    null source is a source of its own, the last; repeated rows are mixed one by one;
+    other columns are ignored; an empty table gives no rows.
     """
-    rows = sizes(docs)
-    aims, draws = plan(rows)
-    times = draws.groupBy("source", "block").agg(F.count("*").alias("times"))
+    rows, _ = sizes(docs)
+    aims, draws, _ = plan(rows)
+    # every row of a block is taken by the shards that drew it: MAX_REPEAT at most
+    drawn = draws.groupBy("source", "block").agg(F.array_sort(F.collect_list("shard")).alias("in"))
     return (
         rows.alias("r")
         .join(aims.alias("a"), F.col("r.source").eqNullSafe(F.col("a.source")))
-        .join(times.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.block") == F.col("t.block")), "left")
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken"))
+        .join(drawn.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.block") == F.col("t.block")), "left")
+        .select(
+            "doc_id",
+            "size",
+            "source_size",
+            "target",
+            (F.col("size") * F.coalesce(F.size("in"), F.lit(0))).alias("taken"),
+            F.coalesce(F.array_join(F.transform("in", lambda s: s.cast("string")), ","), F.lit("")).alias("shards"),
+        )
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, shards: int | None = None) -> DataFrame:
     """The rows of the mix with all columns of ``docs``, a row for each time it is taken.
 
-    Rows of an output shard stand in one partition in a shuffled order.  Columns of
-    ``docs`` may have any names.
+    Rows of an output shard stand in one partition in a shuffled order.  A null text has
+    no words, a null source is the last one, repeated rows are mixed one by one; columns
+    of ``docs`` may have any names; an empty table gives no rows.
     """
-    _, draws = plan(sizes(docs), weights, total, shards)
+    rows, blocks = sizes(docs)
+    _, draws, shards = plan(rows, weights, total, shards)
     drawn = draws.groupBy("source", "block").agg(F.collect_list(F.struct("pass", "shard")).alias("draws"))  # MAX_REPEAT entries at most
-    packed = docs.select(F.struct("*").alias("row"), "source", block_of().alias("block"), F.col("doc_id").alias("id"))
+    packed = docs.select(F.struct("*").alias("row"), "source", block_of(place_of(), blocks).alias("block"), F.col("doc_id").alias("id"))
     rows = packed.alias("p").join(drawn.alias("d"), F.col("p.source").eqNullSafe(F.col("d.source")) & (F.col("p.block") == F.col("d.block")))
     rows = rows.select("row", "id", F.inline("draws"))
     return (
-        rows.repartition(shards, "shard")
+        rows.repartitionById(shards, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", F.xxhash64(F.lit("local order"), "id", "pass"))
         .select("row.*")
     )
