@@ -14,12 +14,12 @@ def words(text: str | None) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def components(docs: list[tuple[int, str | None]]) -> dict[int, int]:
+def components(docs: list[tuple[int, str | None]], width: int = 3, percent: int = 90) -> dict[int, int]:
     """Smallest id reachable by links, over all pairs."""
     sets = {}
     for i, text in docs:
         w = words(ascii_lower(text or ""))
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(x):
@@ -31,7 +31,7 @@ def components(docs: list[tuple[int, str | None]]) -> dict[int, int]:
         for b in sets:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}

@@ -50,7 +50,7 @@ def test_quality_drops_what_fails(stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = texts(stages[2]), texts(stages[3])
-    assert set(after) == {i for i, root in brute.components(list(before.items())).items() if i == root}
+    assert set(after) == {i for i, root in brute.components(list(before.items()), 5, 80).items() if i == root}
 
 
 def test_mix_takes_each_document_as_often_as_planned(stages):
