@@ -61,22 +61,25 @@ HOT_KEYS = 1000
 SENT_IDS = 1_000_000
 
 
-def attach(rows: DataFrame, values: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame | None:
+    """The keys of ``rows`` that hold very many rows, ``HOT_KEYS`` at most, as a written table; None without any."""
+    counts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("__n")), f"{name}-counts")
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    return materialise(counts.where(F.col("__n") > limit).drop("__n"), f"{name}-hot") if (most or 0) > limit else None
+
+
+def attach(rows: DataFrame, values: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
     """``rows`` with the columns of ``values`` (a row for each key) added; null without an entry.
 
-    A key that holds very many rows doesn't meet in one task: there are ``HOT_KEYS`` of
-    these at most, and their values are broadcast; the others are joined by a shuffle.
-    Null keys match nothing.  ``rows`` is read twice and should be a written table.
+    The values of the keys in ``hot`` (``hot_keys``) are broadcast, so that their rows
+    don't meet in one task; the others are joined by a shuffle.  Null keys match nothing.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    counts = materialise(counts, f"{name}-counts")
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    hot = counts.where(F.col("__n") > max(HOT_ROWS, total // HOT_KEYS)).drop("__n")
-    if hot.isEmpty():
+    if hot is None:
         return rows.join(values, list(keys), "left")
-    hot = materialise(hot.join(values, list(keys)), f"{name}-hot")
-    cold = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(values, list(keys), "left")
-    return cold.unionByName(rows.join(F.broadcast(hot), list(keys)))
+    sent = F.broadcast(hot.join(values, list(keys)))
+    cold = rows.join(F.broadcast(hot), list(keys), "left_anti").join(values, list(keys), "left")
+    return cold.unionByName(rows.join(sent, list(keys)))
 
 
 def met(docs: DataFrame, found: DataFrame, on: Column, how: str = "left_semi", weight: Column | None = None) -> DataFrame:

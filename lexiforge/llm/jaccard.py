@@ -46,11 +46,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.arrow import give_back, pieces
-from lexiforge.llm.common import attach, materialise, with_ids
+from lexiforge.llm.common import attach, hot_keys, materialise, with_ids
 
 #: Sets compared at once in one task, and bytes of their hashes.
 BLOCK = 1500
@@ -333,14 +333,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), name)
+    hubs = hot_keys(both, ["b"], name)
     while True:
-        near = attach(both, labels.withColumnRenamed("node", "b"), ["b"], name).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        met = materialise(labels.join(near, "node"), name)
+        near = attach(both, labels.withColumnRenamed("node", "b"), ["b"], hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        met = labels.join(near, "node")
         hooks = met.groupBy(F.col("root").alias("node")).agg(F.min("near").alias("hook"))
         step = met.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near", "hook").alias("root"))
         step = materialise(step, name)
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        fresh = materialise(attach(step, jump, ["root"], name).select("node", "old", F.least("root", "far").alias("root")), name)
+        fresh = materialise(attach(step, jump, ["root"], hot_keys(step, ["root"], name)).select("node", "old", F.least("root", "far").alias("root")), name)
         labels = fresh.select("node", "root")
         if fresh.where("old != root").isEmpty():
             return labels
@@ -446,7 +447,7 @@ def _merged(rows: DataFrame, joined: DataFrame) -> DataFrame:
         return rows
     found = components(edges, "jaccard-labels").select(F.col("node").alias("label"), "root")
     return materialise(
-        rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"), "jaccard-labelled"
+        attach(rows, found, ["label"], hot_keys(rows, ["label"], "jaccard-merged")).withColumn("label", F.coalesce("root", "label")).drop("root"), "jaccard-labelled"
     )
 
 
@@ -466,7 +467,7 @@ def solve(family: DataFrame, rule: Rule = OP6) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     total = counted.where(blocks == 1).agg(F.sum("bytes"), F.sum("sets")).first()
     deals = max(1, -(-int(total[0] or 0) // BLOCK_BYTES), -(-int(total[1] or 0) // BLOCK))
-    rows = attach(numbered, counted.select("f", blocks.alias("blocks")), ["f"], "jaccard-blocks")
+    rows = attach(numbered, counted.select("f", blocks.alias("blocks")), ["f"], hot_keys(numbered, ["f"], "jaccard-blocks"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("deal", F.when(F.col("blocks") > 1, F.xxhash64("f", "block")).otherwise(F.pmod(F.xxhash64("f"), F.lit(deals))))
     rows = materialise(rows, "jaccard-family")
@@ -477,14 +478,17 @@ def solve(family: DataFrame, rule: Rule = OP6) -> DataFrame:
         return rows.select("d1", "d2", "label")
     # the leaders of what the blocks found, in blocks again
     leaders = large.groupBy("f", "block", "label").agg(F.min_by(F.struct("d1", "d2", "shingles"), F.struct("d1", "d2")).alias("s"))
-    leaders = leaders.select("f", "label", "s.*").withColumn("deal", F.pmod(F.xxhash64("label"), F.ceil(F.count("*").over(Window.partitionBy("f")) / BLOCK)))
-    second = leaders.groupBy("f", "deal").applyInArrow(solved, SOLVED)
+    leaders = materialise(leaders.select("f", "label", "s.*"), "jaccard-leaders")
+    deals = leaders.groupBy("f").agg(F.ceil(F.greatest(F.count("*") / BLOCK, weight / BLOCK_BYTES)).alias("deals"))
+    leaders = attach(leaders, deals, ["f"], hot_keys(leaders, ["f"], "jaccard-leaders")).withColumn("deal", F.pmod(F.xxhash64("label"), F.col("deals")))
+    second = leaders.select("f", "deal", "d1", "d2", "label", "shingles").groupBy("f", "deal").applyInArrow(solved, SOLVED)
     rows = _merged(rows, materialise(second, "jaccard-leaders"))
     # families that still differ: every pair of blocks
-    differ = rows.where("blocks > 1").groupBy("f").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("f")
+    differ = rows.where("blocks > 1").groupBy("f").agg((F.min("label") != F.max("label")).alias("differs"))
+    differ = materialise(differ.where("differs"), "jaccard-differ")
     if differ.isEmpty():
         return rows.select("d1", "d2", "label")
-    left = rows.join(differ, "f", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = attach(rows, differ, ["f"], hot_keys(rows, ["f"], "jaccard-differ")).where("differs").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     third = left.select("f", "i", "j", "d1", "d2", "label", "shingles").groupBy("f", "i", "j").applyInArrow(solved, SOLVED)
     return _merged(rows, materialise(third, "jaccard-pairs")).select("d1", "d2", "label")
@@ -519,9 +523,10 @@ def join(docs: DataFrame, rule: Rule = OP6) -> DataFrame:
     labels = solve(chosen, rule)
     labelled = materialise(near.join(labels, ["d1", "d2"]).select("d1", "d2", "first", "label"), "jaccard-found")
     least = labelled.groupBy("label").agg(F.min("first").alias("least"))
-    moved = attach(labelled, least, ["label"], "jaccard-least").select("d1", "d2", "least")
+    moved = attach(labelled, least, ["label"], hot_keys(labelled, ["label"], "jaccard-least")).select("d1", "d2", "least")
     found = materialise(classes.join(moved, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "first").alias("component_id")), "jaccard-components")
-    full = attach(sets.where("n_shingles > 0"), found, ["d1", "d2"], "jaccard-rows").select("doc_id", "n_shingles", "component_id")
+    full = sets.where("n_shingles > 0")
+    full = attach(full, found, ["d1", "d2"], hot_keys(full, ["d1", "d2"], "jaccard-rows")).select("doc_id", "n_shingles", "component_id")
     return full.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

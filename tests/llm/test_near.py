@@ -100,7 +100,7 @@ def test_keys_that_hold_many_rows(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_KEYS", 4)
     rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3, None, None, 9])], "k long, i long")
     values = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
-    out = sorted((r["i"], r["v"]) for r in common.attach(rows, values, ["k"], "test-attach").collect())
+    out = sorted((r["i"], r["v"]) for r in common.attach(rows, values, ["k"], common.hot_keys(rows, ["k"], "test")).collect())
     assert out == [(i, {1: "a", 2: "b", 3: "c"}.get(k)) for i, k in enumerate([1] * 50 + [2] * 3 + [3, None, None, 9])]
 
 
