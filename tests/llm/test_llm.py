@@ -318,7 +318,22 @@ def test_warc(spark, tmp_path):
     warc.export(bundles, str(tmp_path))
     import zstandard
 
-    content = next(tmp_path.iterdir()).read_bytes()
+    content = next(tmp_path.glob("*.zst")).read_bytes()
     whole = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).read()
     assert whole.count(b"WARC/1.1") >= 1
     assert warc.write(pages.limit(0)).count() == 0
+
+
+def test_warc_frames_and_identifiers(spark):
+    rng = random.Random(4)
+    rows = [(i % 90, "u", prose(rng, rng.randrange(1, 900))) for i in range(100)] + [(7, "u", "same " * 40)] * 3 + [(500, "u", "same " * 40)]
+    bundles = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    found, places = warc.read(bundles).collect(), {(r["bundle"], r["frame"], r["offset"]): r["record_id"] for r in warc.index(bundles).collect()}
+    assert len(found) == len(places) == len(set(places.values())) == len(rows)
+    assert {(r["bundle"], r["frame"], r["offset"]) for r in found} == set(places)
+    assert 1 < len({r["frame"] for r in found}) < len(rows)
+    key = lambda p, t: (p, hashlib.sha256(t.encode()).hexdigest())
+    assert sorted((r["page_id"], r["payload_digest"]) for r in found) == sorted(key(p, t) for p, _, t in rows)
+    assert [(r["page_id"], r["refers_to"]) for r in found if r["record_type"] == "revisit"] == [(500, 7)]
+    fetched = warc.fetch(bundles, [50, 7]).collect()
+    assert {bytes(r["payload"]).decode() for r in fetched} == {t for p, _, t in rows if p in (50, 7)}
