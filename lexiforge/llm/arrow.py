@@ -13,14 +13,20 @@ PIECE_BYTES = 4_000_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Runs of rows with at most ``limit`` bytes of text, with the texts as UTF-8 (null: empty)."""
+    """Runs of rows with at most ``limit`` bytes of text, with the texts as UTF-8 (null: empty).
+
+    The runs of a batch are about equally long, so that none is left over with a few rows.
+    """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+        runs = -(-column.nbytes // limit) or 1
+        most = min(limit, column.nbytes // runs + 1)
         start, held, rows = 0, 0, []
         for i, value in enumerate(column):
             value = value.as_py() or b""
-            if rows and held + len(value) > limit:
+            # a run ends before a text that passes the limit, or once it has its share
+            if rows and (held >= most or held + len(value) > limit):
                 yield batch.slice(start, i - start), rows
                 start, held, rows = i, 0, []
             rows.append(value)
