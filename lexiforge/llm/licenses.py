@@ -4,11 +4,11 @@ A text is lower-cased (A-Z) and reduced to its words, one space apart.  Each rul
 regular expression over whole words with a keyword that all its matches contain, a
 label, a weight and a place in the order.  A text without any rule's stem is done after
 one look; otherwise the rules whose keyword it has are run, and overlapping detections
-are resolved: one that lies inside another is suppressed by it, and of equal ones the
-first in the order of the rules stays.
+are resolved: one that lies inside another is suppressed by it, and of equal ones, or of
+two that overlap in part, the first in the order of the rules stays.
 
 The rules are built from families of licenses, their versions and the phrases that
-grant or name them, some three hundred in all.  Only built-in functions are used; the
+grant or name them, more than four hundred in all.  Only built-in functions are used; the
 scan is a map without any shuffle, and its cost beyond reading is paid only for texts
 that pass the prefilter.
 """
@@ -168,34 +168,48 @@ def _literal(known: list[Rule]) -> Column:
     )
 
 
-#: Detections of one rule: the matches are fenced in, and the spaces before a fence tell its word.
-_PLACES = r"""
-aggregate(
-  slice(split(regexp_replace(norm, r.pattern, '\u0001$0\u0002'), '\u0001'), 2, greatest(length(norm), 1)),
-  named_struct(
-    'at', length(substring_index(regexp_replace(norm, r.pattern, '\u0001$0\u0002'), '\u0001', 1))
-          - length(replace(substring_index(regexp_replace(norm, r.pattern, '\u0001$0\u0002'), '\u0001', 1), ' ', '')),
-    'found', cast(array() as array<struct<start: int, inverse: int, nth: int, label: string, weight: double, base: boolean>>)
-  ),
-  (acc, p) -> named_struct(
-    'at', acc.at + length(p) - length(replace(p, ' ', '')),
-    'found', array_append(acc.found, named_struct(
-      'start', acc.at,
-      'inverse', length(replace(substring_index(p, '\u0002', 1), ' ', '')) - length(substring_index(p, '\u0002', 1)) - 1,
-      'nth', r.nth, 'label', r.label, 'weight', r.weight, 'base', r.base))
-  ),
-  acc -> acc.found
-)"""
+#: Detections of all rules: each rule is matched once, its matches are fenced in, and the
+#: spaces before a fence tell its word.
+_FOUND = r"""
+array_sort(flatten(transform(
+  filter(
+    transform(hits, r -> named_struct('r', r, 'parts', split(regexp_replace(norm, r.pattern, '\u0001$0\u0002'), '\u0001'))),
+    x -> size(x.parts) > 1),
+  x -> aggregate(
+    slice(x.parts, 2, size(x.parts)),
+    named_struct(
+      'at', length(x.parts[0]) - length(replace(x.parts[0], ' ', '')),
+      'found', cast(array() as array<struct<start: int, inverse: int, nth: int, label: string, weight: double, base: boolean>>)
+    ),
+    (acc, p) -> named_struct(
+      'at', acc.at + length(p) - length(replace(p, ' ', '')),
+      'found', array_append(acc.found, named_struct(
+        'start', acc.at,
+        'inverse', length(replace(substring_index(p, '\u0002', 1), ' ', '')) - length(substring_index(p, '\u0002', 1)) - 1,
+        'nth', x.r.nth, 'label', x.r.label, 'weight', x.r.weight, 'base', x.r.base))
+    ),
+    acc -> acc.found
+  ))))"""
 
 #: Detections sorted by start, longest first, then the rules' order: one that doesn't
-#: reach beyond all before it lies inside one of them.
+#: reach beyond all before it lies inside one of them and is suppressed.  Those that are
+#: left have rising starts and ends; of two that overlap the one earlier in the order stays.
 _SWEEP = """
 aggregate(
-  found,
-  named_struct('reach', -1, 'labels', cast(array() as array<string>), 'score', 0.0D),
-  (acc, d) -> if(d.start - d.inverse > acc.reach,
-    named_struct('reach', d.start - d.inverse, 'labels', array_union(acc.labels, array(d.label)), 'score', greatest(acc.score, d.weight)),
-    acc)
+  aggregate(
+    found,
+    named_struct('reach', -1, 'kept', cast(array() as array<struct<start: int, end: int, nth: int, label: string, weight: double>>)),
+    (acc, d) -> if(d.start - d.inverse > acc.reach,
+      named_struct('reach', d.start - d.inverse, 'kept',
+        array_append(acc.kept, named_struct('start', d.start, 'end', d.start - d.inverse, 'nth', d.nth, 'label', d.label, 'weight', d.weight))),
+      acc),
+    acc -> acc.kept
+  ),
+  cast(array() as array<struct<start: int, end: int, nth: int, label: string, weight: double>>),
+  (acc, d) -> case
+    when size(acc) = 0 or element_at(acc, -1).end <= d.start then array_append(acc, d)
+    when d.nth < element_at(acc, -1).nth then array_append(slice(acc, 1, size(acc) - 1), d)
+    else acc end
 )"""
 
 
@@ -219,8 +233,7 @@ def scan(docs: DataFrame) -> DataFrame:
     known = rules()
     hits = F.filter(_literal(known), lambda r: F.contains(F.col("norm"), r["keyword"]))
     rows = rows.withColumn("hits", F.when(F.col("norm").isNotNull(), hits))
-    found = F.expr(f"array_sort(flatten(transform(hits, r -> {_PLACES})))")
-    rows = rows.select("doc_id", "n_words", F.when(F.size("hits") > 0, found).alias("found"))
+    rows = rows.select("doc_id", "n_words", F.when(F.size("hits") > 0, F.expr(_FOUND)).alias("found"))
     base = F.filter("found", lambda d: d["base"])
     rows = rows.select("doc_id", "n_words", base.alias("base"), F.expr(_SWEEP).alias("kept"))
     starts = F.transform("base", lambda d: d["start"].cast("long"))
@@ -232,6 +245,6 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
         F.coalesce(F.array_join(base_labels, ","), F.lit("")).alias("base_labels"),
-        F.coalesce(F.array_join(F.array_sort(F.array_union(F.col("kept.labels"), base_labels)), ","), F.lit("")).alias("labels"),
-        F.coalesce(F.col("kept.score"), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_join(F.array_sort(F.array_union(F.transform("kept", lambda d: d["label"]), base_labels)), ","), F.lit("")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("kept", lambda d: d["weight"])), F.lit(0.0)).alias("score"),
     )
