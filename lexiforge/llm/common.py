@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not context.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         known = context.get() if context.isDefined() else tempfile.mkdtemp(prefix="lexiforge-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known
