@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder, which the session names, or a temporary one where it doesn't."""
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder that the session names; only a session on one machine may leave it unset."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiforge-"))
     return df.checkpoint()
 
 
@@ -26,20 +29,24 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Labels pass along edges, then jump to the label of the label, until none changes.
     """
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _cut(nodes.select("term", F.col("term").alias("component")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = cut(nodes.select("term", F.col("term").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("term", "b"), "b").groupBy(F.col("a").alias("term")).agg(F.min("component").alias("near"))
         step = labels.join(near, "term", "left").select("term", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = step.select(F.col("term").alias("component"), F.col("component").alias("far"))
-        fresh = _cut(step.join(jump, "component").select("term", "old", F.least("component", "far").alias("component")))
+        fresh = cut(step.join(jump, "component").select("term", "old", F.least("component", "far").alias("component")))
         labels = fresh.select("term", "component")
         if fresh.where("old != component").isEmpty():
             return labels
 
 
 def scores(nodes: DataFrame, edges: DataFrame, prefer_higher: bool = False) -> DataFrame:
-    """term and canonical score: level, degree, edge weights, length and form of the term."""
+    """term and canonical score: level, degree, web presence, edge weights, length and form of the term.
+
+    Web presence counts where ``nodes`` has its columns: urls (2 points each, 20 at
+    most), contents (10 points for any) and relevance (its mean, times 10).
+    """
     ends = edges.select(F.col("a").alias("term"), "weight").unionAll(edges.select(F.col("b").alias("term"), "weight"))
     degree = ends.groupBy("term").agg(F.count("*").alias("degree"), F.sum("weight").alias("weights"))
     words = F.size(F.filter(F.split("term", r"\s+"), lambda w: w != ""))
@@ -53,6 +60,13 @@ def scores(nodes: DataFrame, edges: DataFrame, prefer_higher: bool = False) -> D
         - F.when(upper, 5).otherwise(0)
         + F.when(words == 1, 3).when(words > 3, -(words - 3) * 2).otherwise(0)
     )
+    web = {
+        "urls": F.least(F.coalesce("urls", F.lit(0)) * 2, F.lit(20)),
+        "contents": F.when(F.col("contents") > 0, 10).otherwise(0),
+        "relevance": F.coalesce("relevance", F.lit(0.0)) * 10,
+    }
+    for name in web:
+        score = score + web[name] if name in nodes.columns else score
     return nodes.join(degree, "term", "left").select("term", "level", F.coalesce("degree", F.lit(0)).alias("degree"), score.cast("double").alias("score"))
 
 

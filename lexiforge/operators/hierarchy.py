@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.operators.graph import cut
+
 
 def build(terms: DataFrame) -> DataFrame:
     """parent, child, level of edges from terms (term, level, parents) to parents on lower levels."""
@@ -81,21 +83,31 @@ def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lone.unionByName(wide).unionByName(narrow).unionByName(redundant.distinct())
 
 
-def path_lengths(nodes: DataFrame, edges: DataFrame, depth: int = 4) -> DataFrame:
-    """Simple paths from level 0: for each end level their number, mean and greatest length.
+def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Simple paths from the terms of level 0: for each end level the pairs of terms, paths, mean and greatest length.
 
-    Paths are extended one edge at a time; only counts by (end, length) are kept, so a
-    term with many paths stays one row.
+    The mean is over the pairs' own means.  Edges lead to deeper levels (others are left
+    out), so every path is simple and ends.  Paths are extended by one edge at a time, as
+    long as any goes on; a pair with many paths of a length is one row.
     """
-    at = nodes.where("level = 0").select("term", F.lit(1).cast("long").alias("paths"))
-    out = None
-    for length in range(1, depth):
-        at = at.join(edges.select(F.col("parent").alias("term"), "child"), "term").groupBy(F.col("child").alias("term")).agg(F.sum("paths").alias("paths"))
-        step = at.select("term", "paths", F.lit(length).alias("length"))
+    level = nodes.select(F.col("term").alias("child"), F.col("level").alias("lower"))
+    down = edges.select("parent", "child").distinct().join(level, "child")
+    down = cut(down.join(nodes.select(F.col("term").alias("parent"), "level"), "parent").where("lower > level").select(F.col("parent").alias("term"), "child"))
+    at = nodes.where("level = 0").select(F.col("term").alias("source"), "term", F.lit(1).cast("long").alias("paths"))
+    out, length = None, 0
+    while True:
+        at = cut(at.join(down, "term").groupBy("source", F.col("child").alias("term")).agg(F.sum("paths").alias("paths")))
+        length += 1
+        if at.isEmpty():
+            break
+        step = at.withColumn("length", F.lit(length))
         out = step if out is None else out.unionByName(step)
-    ends = out.join(nodes, "term")
-    return ends.groupBy("level").agg(
-        F.sum("paths").alias("paths"), (F.sum(F.col("paths") * F.col("length")) / F.sum("paths")).alias("mean_length"), F.max("length").alias("max_length")
+    if out is None:
+        out = at.withColumn("length", F.lit(length))
+    mean = F.sum(F.col("paths") * F.col("length")) / F.sum("paths")
+    pairs = out.groupBy("source", "term").agg(F.sum("paths").alias("paths"), mean.alias("mean"), F.max("length").alias("most"))
+    return pairs.join(nodes, "term").groupBy("level").agg(
+        F.count("*").alias("pairs"), F.sum("paths").alias("paths"), F.avg("mean").alias("mean_length"), F.max("most").alias("max_length")
     )
 
 

@@ -83,7 +83,13 @@ def compound_edges(terms: DataFrame) -> DataFrame:
     pairs = pairs.join(a, "pos1").join(b, "pos2")
     one = ((F.col("w1") == 1) & (F.col("w2") > 1)) | ((F.col("w2") == 1) & (F.col("w1") > 1))
     both = (F.col("w1") > 1) & (F.col("w2") > 1) & ((F.col("shared") >= 2) | (F.col("shared") == F.least("w1", "w2")))
-    return _named(pairs.where(one | both), terms).select("src", "dst", "shared", F.lit(0.9).alias("weight"), F.lit("compound").alias("edge_type"))
+    met = _named(pairs.where(one | both), terms)
+    a, b = T.normalise(F.col("src")), T.normalise(F.col("dst"))
+    # a ratio above 0.9 needs lengths that differ by less than a fifth
+    near = F.least(F.length(a), F.length(b)) >= 0.66 * F.greatest(F.length(a), F.length(b))
+    alike = met.where(near).withColumn("weight", F.greatest(F.lit(0.9), similarity_of(a, b)))
+    met = alike.unionByName(met.where(~near).withColumn("weight", F.lit(0.9)))
+    return met.select("src", "dst", "shared", "weight", F.lit("compound").alias("edge_type"))
 
 
 def acronym_edges(terms: DataFrame) -> DataFrame:

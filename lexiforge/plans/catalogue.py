@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import text as T
 from lexiforge.functions import urls as U
 from lexiforge.operators import ambiguity, dedup, frequency, graph, hierarchy, metadata, metrics, mining, pairs, validate, vectors
-from lexiforge.plans import contents
+from lexiforge.plans import contents, points
 from lexiforge.plans import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     """Name -> query over (spark, folder of the tables)."""
-    return _QUERIES | contents.QUERIES
+    return _QUERIES | contents.QUERIES | points.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL giving the same rows."""
-    return _SQL | contents.SQL
+    return _SQL | contents.SQL | points.SQL
 
 
 # --- frequency filters
@@ -226,12 +226,7 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- edges
 
-_W = f"WITH {I.TERMS}, w AS (SELECT pos, term, list_distinct(string_split(lower(term), ' ')) AS w FROM terms)"
-
-
-@query(f"""{_W} SELECT x.term AS src, y.term AS dst, len(list_intersect(x.w, y.w)) AS shared, 0.9::DOUBLE AS weight, 'compound' AS edge_type FROM w x JOIN w y ON x.pos < y.pos
-WHERE len(list_intersect(x.w, y.w)) > 0 AND ((least(len(x.w), len(y.w)) = 1 AND greatest(len(x.w), len(y.w)) > 1) OR (least(len(x.w), len(y.w)) > 1
-AND (len(list_intersect(x.w, y.w)) >= 2 OR len(list_intersect(x.w, y.w)) = least(len(x.w), len(y.w)))))""")
+@query()
 def edges_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.compound_edges(I.terms(spark, sf_dir))
 
@@ -545,8 +540,9 @@ def hier_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.issues(*I.hierarchy(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {I.HIERARCHY}, walk(term, length) AS (SELECT term, 0 FROM nodes WHERE level = 0 UNION ALL SELECT e.child, w.length + 1 FROM walk w JOIN edges e ON e.parent = w.term)
-SELECT level, count(*) AS paths, avg(length) AS mean_length, max(length) AS max_length FROM walk JOIN nodes USING (term) WHERE length > 0 GROUP BY 1""")
+@query(f"""WITH RECURSIVE {I.HIERARCHY}, walk(source, term, length) AS (SELECT term, term, 0 FROM nodes WHERE level = 0 UNION ALL SELECT w.source, e.child, w.length + 1 FROM walk w JOIN edges e ON e.parent = w.term),
+p AS (SELECT source, term, count(*) AS n, avg(length) AS mean, max(length) AS most FROM walk WHERE length > 0 GROUP BY 1, 2)
+SELECT level, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS paths, avg(mean) AS mean_length, max(most) AS max_length FROM p JOIN nodes USING (term) GROUP BY 1""")
 def hier_path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.path_lengths(*I.hierarchy(spark, sf_dir))
 

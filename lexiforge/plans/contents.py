@@ -40,10 +40,10 @@ def informative_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "pages").select("page_id", contents.informative(F.col("html")).alias("content"))
 
 
-@query("""WITH r AS (SELECT source AS term, left(text, 40) AS content, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
+@query("""WITH r AS (SELECT source AS term, text AS content, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
 SELECT term, string_agg(content, ' | ' ORDER BY rank) AS content FROM r WHERE rank <= 5 GROUP BY 1""")
 def top_resource_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.table(spark, sf_dir, "documents").select(F.col("source").alias("term"), F.col("doc_id").alias("pos"), F.col("n_chars").cast("double").alias("score"), F.left("text", F.lit(40)).alias("content"))
+    rows = I.table(spark, sf_dir, "documents").select(F.col("source").alias("term"), F.col("doc_id").alias("pos"), F.col("n_chars").cast("double").alias("score"), F.col("text").alias("content"))
     return contents.top_contents(rows, 5, " | ")
 
 
@@ -114,11 +114,11 @@ def pair_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mean_n", F.round("mean_n", 6)).withColumn("strongest", F.round("strongest", 6))
 
 
-@query(r"""WITH d AS (SELECT lang || ' (' || doc_id || ')' AS term, lang AS base, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents WHERE n_chars < 500)
+@query(r"""WITH d AS (SELECT lang || ' (' || doc_id || ')' AS term, lang AS base, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents)
 SELECT x.term, round(max(len(list_intersect(x.w, y.w)) / greatest(1, len(list_distinct(list_concat(x.w, y.w))))::DOUBLE), 6) AS likeness FROM d x JOIN d y ON x.base = y.base AND x.term <> y.term
 GROUP BY 1 HAVING max(len(list_intersect(x.w, y.w)) / greatest(1, len(list_distinct(list_concat(x.w, y.w))))::DOUBLE) >= 0.8""")
 def split_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.table(spark, sf_dir, "documents").where("n_chars < 500").select(F.concat("lang", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")")).alias("term"), F.col("text").alias("content"))
+    rows = I.table(spark, sf_dir, "documents").select(F.concat("lang", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")")).alias("term"), F.col("text").alias("content"))
     return contents.split_siblings(rows).withColumn("likeness", F.round("likeness", 6))
 
 
@@ -129,10 +129,9 @@ def mined_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents.mined_items(rows.select(F.col("c_mktsegment").alias("term"), F.col("c_custkey").alias("pos"), F.col("n_name").alias("item")), 10)
 
 
-@query("SELECT vec_id, len(embedding) AS length, array_to_string(list_transform(embedding[1:5], lambda x: CAST(round(x::DOUBLE, 4) AS VARCHAR)), ',') AS head FROM embeddings WHERE abs(embedding[1]) > 0.01 AND abs(embedding[2]) > 0.01 AND abs(embedding[3]) > 0.01 AND abs(embedding[4]) > 0.01 AND abs(embedding[5]) > 0.01")
+@query("SELECT vec_id, len(embedding) AS length, array_to_string(list_transform(embedding[1:5], lambda x: CAST(CAST(round(x::DOUBLE * 10000) AS BIGINT) AS VARCHAR)), ',') AS head FROM embeddings")
 def vector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.forall(F.slice("embedding", 1, 5), lambda x: F.abs(x) > 0.01)  # both engines write these without an exponent
-    return contents.vector_summary(I.table(spark, sf_dir, "embeddings").where(plain))
+    return contents.vector_summary(I.table(spark, sf_dir, "embeddings"))
 
 
 @query(f"WITH {I.TERMS} SELECT term, sha256(lower(term) || ':rule,web') AS key, upper(left(term, 1)) || substr(term, 2) AS capital FROM terms")

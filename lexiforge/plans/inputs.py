@@ -88,9 +88,9 @@ comp AS (SELECT term, min(root) AS component FROM reach GROUP BY term)"""
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (term, level) and edges (parent, child): regions, nations, customers, their large orders."""
+    """Nodes (term, level) and edges (parent, child): regions, nations, customers, their orders."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 or o_totalprice > 100000")
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
     nodes = (
         region.select(key("r", "r_regionkey").alias("term"), F.lit(0).alias("level"))
@@ -99,19 +99,18 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .union(orders.select(key("o", "o_orderkey"), F.lit(3)))
     )
     edges = (
-        nation.where("n_nationkey % 7 <> 3").select(key("r", "n_regionkey").alias("parent"), key("n", "n_nationkey").alias("child"))
+        nation.select(key("r", "n_regionkey").alias("parent"), key("n", "n_nationkey").alias("child"))
         .union(customer.select(key("n", "c_nationkey"), key("c", "c_custkey")))
-        .union(orders.where("o_orderkey % 11 <> 5").select(key("c", "o_custkey"), key("o", "o_orderkey")))
+        .union(orders.select(key("c", "o_custkey"), key("o", "o_orderkey")))
     )
     return nodes, edges
 
 
-HIERARCHY = """big AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0 OR o_totalprice > 100000),
-nodes AS (SELECT 'r' || r_regionkey AS term, 0 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation
-  UNION ALL SELECT 'c' || c_custkey, 2 FROM customer UNION ALL SELECT 'o' || o_orderkey, 3 FROM big),
-edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation WHERE n_nationkey % 7 <> 3
+HIERARCHY = """nodes AS (SELECT 'r' || r_regionkey AS term, 0 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 2 FROM customer UNION ALL SELECT 'o' || o_orderkey, 3 FROM orders),
+edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation
   UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
-  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM big WHERE o_orderkey % 11 <> 5),
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
 kids AS (SELECT n.term, n.level, count(DISTINCT e.child) AS n FROM nodes n LEFT JOIN edges e ON e.parent = n.term GROUP BY 1, 2)"""
 
 

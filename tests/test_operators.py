@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
 from lexiforge.functions import urls as U
-from lexiforge.operators import ambiguity, frequency, graph, metadata, metrics, mining, pairs, vectors
+from lexiforge.operators import ambiguity, frequency, graph, hierarchy, lookups, metadata, metrics, mining, pairs, vectors
 from lexiforge.sources import files
 from lexiforge.streaming import metrics as running
 
@@ -138,3 +138,62 @@ def test_streaming_metrics_match_batch(spark, tmp_path):
     batch = source.groupBy(F.window("ts", "1 day")["start"].alias("start"), F.col("event_type").alias("operation")).agg(F.count("*").alias("n"))
     out = {(r["start"], r["operation"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out and out <= {(r["start"], r["operation"], r["n"]) for r in batch.collect()}
+
+
+def test_compound_weights(spark):
+    words = ["red bolt", "red bolts", "bolt", "red bolt set", "red gear", "blue gear", "blue gears", "gear", "big red bolt", "data base systems", "data base system"]
+    terms = spark.createDataFrame(list(enumerate(words)), "pos long, term string")
+    want = {}
+    for i, a in enumerate(words):
+        for b in words[i + 1 :]:
+            x, y = set(a.split()), set(b.split())
+            one = min(len(x), len(y)) == 1 and max(len(x), len(y)) > 1 and x & y
+            if one or (min(len(x), len(y)) > 1 and (len(x & y) >= 2 or len(x & y) == min(len(x), len(y)))):
+                want[a, b] = max(0.9, pairs.similarity(a, b))
+    got = {(r["src"], r["dst"]): r["weight"] for r in pairs.compound_edges(terms).collect()}
+    assert got == pytest.approx(want)
+    assert max(want.values()) > 0.9
+
+
+def test_hierarchy_faults_and_paths(spark):
+    nodes = [("a", 0), ("b", 0), ("c", 1), ("d", 1), ("e", 2), ("f", 3), ("g", 4), ("h", 5), ("lone", 2)]
+    edges = [("a", "c"), ("b", "c"), ("a", "d"), ("c", "e"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "h"), ("a", "e"), ("f", "d")]
+    n, e = spark.createDataFrame(nodes, "term string, level int"), spark.createDataFrame(edges, "parent string, child string")
+    assert [r["term"] for r in hierarchy.orphans(n, e).collect()] == ["lone"]
+    assert {r["term"] for r in hierarchy.leaves(n, e).collect()} == {"h", "lone"}
+    assert ("redundant", "e") in {(r["issue"], r["term"]) for r in hierarchy.issues(n, e).collect()}
+    down = [(p, c) for p, c in edges if dict(nodes)[p] < dict(nodes)[c]]
+    found = {}
+
+    def walk(source, at, length):
+        for p, c in down:
+            if p == at:
+                found.setdefault((source, c), []).append(length + 1)
+                walk(source, c, length + 1)
+
+    for term, level in nodes:
+        if level == 0:
+            walk(term, term, 0)
+    want = {}
+    for (_, t), lengths in found.items():
+        want.setdefault(dict(nodes)[t], []).append(lengths)
+    got = {r["level"]: (r["pairs"], r["paths"], r["mean_length"], r["max_length"]) for r in hierarchy.path_lengths(n, e).collect()}
+    assert got == {k: (len(v), sum(map(len, v)), pytest.approx(sum(sum(x) / len(x) for x in v) / len(v)), max(map(max, v))) for k, v in want.items()}
+    assert got[5][3] == 5  # a c e f g h
+
+
+def test_web_presence_in_the_canonical_score(spark):
+    nodes = spark.createDataFrame([("x", 1, 30, 2, 0.5), ("y", 1, 3, 0, None)], "term string, level int, urls int, contents int, relevance double")
+    edges = spark.createDataFrame([], "a string, b string, weight double")
+    plain = {r["term"]: r["score"] for r in graph.scores(nodes.select("term", "level"), edges).collect()}
+    web = {r["term"]: r["score"] for r in graph.scores(nodes, edges).collect()}
+    assert {t: web[t] - plain[t] for t in web} == {"x": 35.0, "y": 6.0}
+
+
+def test_likeness_in_parent_scores(spark):
+    nodes = spark.createDataFrame([("Art", 0), ("bio", 0), ("x", 1), ("y", 3)], "term string, level int")
+    edges = spark.createDataFrame([("Art", "x"), ("bio", "x"), ("bio", "y")], "parent string, child string")
+    sources = spark.createDataFrame([("x", "history of ART"), ("x", None)], "term string, text string")
+    likeness = spark.createDataFrame([("Art", "x", 0.5), ("bio", "y", None)], "parent string, child string, likeness double")
+    got = {(r["parent"], r["child"]): r["score"] for r in lookups.parent_scores(nodes, edges, sources, likeness).collect()}
+    assert got == {("Art", "x"): 1 + 5 + 3 + 2 + 2, ("bio", "x"): 1 + 3 + 2, ("bio", "y"): 1 + 3 - 1}
