@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.arrow import give_back, pieces
-from lexiforge.llm.common import attach, hot_keys, materialise, with_ids
+from lexiforge.llm.common import attach, hot_keys, materialise, met, with_ids
 
 #: Sets compared at once in one task, and bytes of their hashes.
 BLOCK = 1500
@@ -316,9 +316,9 @@ def ties(rows: DataFrame, rule: Rule) -> DataFrame:
         return _post(chunk, found, rule)
 
     posts = materialise(chunks.cogroup(counted.groupBy("chunk")).applyInArrow(run, POSTS_DDL), "jaccard-posts")
-    met = posts.where("post is not null").select("post", "a")
-    least = met.groupBy("post").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("post", "b")
-    across = met.join(least, "post").where("a <> b").select("a", "b")
+    posted_by = posts.where("post is not null").select("post", "a")
+    least = posted_by.groupBy("post").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("post", "b")
+    across = posted_by.join(least, "post").where("a <> b").select("a", "b")
     return across.unionByName(posts.where("post is null").select("a", "b")).distinct()
 
 
@@ -336,9 +336,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     hubs = hot_keys(both, ["b"], name)
     while True:
         near = attach(both, labels.withColumnRenamed("node", "b"), ["b"], hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        met = labels.join(near, "node")
-        hooks = met.groupBy(F.col("root").alias("node")).agg(F.min("near").alias("hook"))
-        step = met.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near", "hook").alias("root"))
+        pairs = labels.join(near, "node")
+        hooks = pairs.groupBy(F.col("root").alias("node")).agg(F.min("near").alias("hook"))
+        step = pairs.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near", "hook").alias("root"))
         step = materialise(step, name)
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
         fresh = materialise(attach(step, jump, ["root"], hot_keys(step, ["root"], name)).select("node", "old", F.least("root", "far").alias("root")), name)
@@ -348,16 +348,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def members(docs: DataFrame, wanted: DataFrame, rule: Rule = OP6) -> DataFrame:
-    """doc_id, d1, d2 and the set (bytes) of the rows of ``docs`` whose id is in ``wanted`` (id)."""
+    """doc_id, d1, d2 and the set (bytes) of the rows of ``docs`` whose id is in ``wanted`` (id); repeated rows once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for rows, texts in pieces(batches):
             found = [shingles(t, rule.width) for t in texts]
-            digests = np.array([_digest(k) for k in found], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([k.tobytes() for k in found], pa.binary())],
-                names=["doc_id", "d1", "d2", "shingles"],
-            )
+            digests = [_digest(k) for k in found]
+            fresh = []
+            for i, key in enumerate(zip(rows.column(0).to_pylist(), digests)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            d1, d2 = (pa.array([digests[i][k] for i in fresh], pa.int64()) for k in (0, 1))
+            sets = pa.array([found[i].tobytes() for i in fresh], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(fresh, pa.int64())), d1, d2, sets], names=["doc_id", "d1", "d2", "shingles"])
         give_back()
 
     return with_ids(_plain(docs), wanted).mapInArrow(run, "doc_id long, d1 long, d2 long, shingles binary")
@@ -515,12 +520,10 @@ def join(docs: DataFrame, rule: Rule = OP6) -> DataFrame:
     classes = materialise(sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first")), "jaccard-classes")
     families = components(materialise(ties(rows, rule), "jaccard-ties"), "jaccard-families")
     near = materialise(classes.join(families.select(F.col("node").alias("d1"), F.col("root").alias("f")), "d1"), "jaccard-near")
-    chosen = members(docs, near.select(F.col("first").alias("id")), rule).alias("m").join(
-        near.alias("n"),
-        (F.col("m.d1") == F.col("n.d1")) & (F.col("m.d2") == F.col("n.d2")) & F.col("doc_id").eqNullSafe(F.col("first")),
-    )
-    chosen = chosen.select("f", "n.d1", "n.d2", "shingles").dropDuplicates(["d1", "d2"])
-    labels = solve(chosen, rule)
+    own = near.select("f", "first", F.col("d1").alias("n1"), F.col("d2").alias("n2"))
+    hit = (F.col("d1") == F.col("n1")) & (F.col("d2") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    chosen = met(members(docs, near.select(F.col("first").alias("id")), rule), own, hit, "inner").select("f", "d1", "d2", "shingles")
+    labels = solve(chosen, rule).dropDuplicates(["d1", "d2"])  # repeated rows have one label
     labelled = materialise(near.join(labels, ["d1", "d2"]).select("d1", "d2", "first", "label"), "jaccard-found")
     least = labelled.groupBy("label").agg(F.min("first").alias("least"))
     moved = attach(labelled, least, ["label"], hot_keys(labelled, ["label"], "jaccard-least")).select("d1", "d2", "least")
