@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
 returns a DataFrame; all but the last return the columns of ``documents``.
+
+In all stages null ids and sources are values like others, columns may be added, and an
+empty table gives no rows.  Null and empty texts go in the first stage.  Repeated rows
+share one verdict in the first two stages; the third keeps one of them.
 """
 
 from __future__ import annotations
@@ -14,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiforge.llm import bpe, jaccard, langid, mixing, quality
 from lexiforge.llm.common import materialise, table
 
+#: Words that a task of the last stage keeps in a generation; fewer than alone, as earlier stages left memory in use.
+MEMO_WORDS = 60_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of ids, and digests of the ids and of the decoded bytes, of every drawn document."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, MEMO_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -36,7 +36,7 @@ from lexiforge.llm.arrow import batch_of, give_back, pieces
 
 #: Distinct words whose ids a task keeps in each of two generations: when the younger
 #: is full it becomes the older, whose words are forgotten and, if met again, found anew.
-MEMO_WORDS = 60_000
+MEMO_WORDS = 150_000
 #: More than any rank: the pair isn't a token.
 NONE = 1 << 60
 BUCKETS = 1 << 16
@@ -101,6 +101,7 @@ class Encoder:
         self.pieces = {rank: token for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.ids: dict[str, list[int]] = {}
+        self.memo = MEMO_WORDS
         self.written: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
@@ -110,7 +111,7 @@ class Encoder:
         for word in self.find(text):
             ids = self.ids.get(word)
             if ids is None:
-                if len(self.ids) >= MEMO_WORDS:
+                if len(self.ids) >= self.memo:
                     self.ids.clear()
                 ids = self.ids[word] = merge(word.encode(), self.ranks)
             out += ids
@@ -136,7 +137,7 @@ class Encoder:
         found = [known[w] for w in words]
         ids = b",".join([a for a, _ in found])
         decoded = b"".join([b for _, b in found])
-        if len(known) > MEMO_WORDS:
+        if len(known) > self.memo:
             self.older, self.written = known, {}
         return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
@@ -178,16 +179,18 @@ def _kind(docs: DataFrame, key: str) -> str:
     return docs.select(key).schema[0].dataType.simpleString()
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, memo: int = MEMO_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row.
 
     A null text counts as empty (no ids); rows may repeat; other columns are ignored;
-    an empty table gives no rows; texts of any length are encoded whole.
+    an empty table gives no rows; texts of any length are encoded whole.  ``memo`` is the
+    number of words kept in a generation; it changes memory and time, not the result.
     """
     sent = _Key(docs.sparkSession.sparkContext.broadcast((read_ranks(path), pattern)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent)
+        encoder.memo = memo
         for rows, texts in pieces(batches):
             n, ids, decoded = zip(*(encoder.digest(t.decode("utf-8", "replace")) for t in texts))
             yield pa.RecordBatch.from_arrays(
