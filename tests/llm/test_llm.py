@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import brute
@@ -184,6 +185,54 @@ def test_lm_is_a_distribution():
     assert alone[0] == pytest.approx(among[1])
 
 
+def plain_refine(logs, text, counts, tokens):
+    """One text, word by word; ``logs`` has the bits' log10 probability of each byte and the end."""
+    total, answers, seen, at, counts = 0.0, 0.0, 0, 0, list(counts)
+    for word in re.split(rb"[ \t\n\v\f\r]", text):
+        bits = 10 ** sum(logs[at : at + len(word)])
+        g = (1 + answers) / (2 + seen)
+        total += logs[at + len(word)]
+        at += len(word) + 1
+        if not word:
+            total += math.log10(1 - g)
+            continue
+        letters = [chr(b) for b in word if chr(b).isascii() and chr(b).isalpha()]
+        capitals = sum(x.isupper() for x in letters)
+        case = 0.8 if not capitals else 0.15 if capitals == 1 and 65 <= word[0] <= 90 else 0.04 if capitals == len(letters) else 0.01 * 0.5 ** len(letters)
+        listed = counts.pop(0) / (tokens + 1) * case
+        total += math.log10((1 - g) * bits + g * listed)
+        answers += listed / (listed + bits)
+        seen += 1
+    assert not counts and at == len(text) + 1
+    return total
+
+
+def test_dictionary_refines_like_a_plain_loop():
+    rng = np.random.default_rng(3)
+    texts = [b"", b" ", b"a", b"The cat  sat\n", b"ALL Caps miXed x\0y 12\t", b"\x1c z " * 40, "é à ü".encode()]
+    data, start, length = lm.laid_out(texts)
+    logs = np.zeros(len(data))
+    for s, n in zip(start, length):
+        logs[s : s + n] = -rng.random(n)
+    counts = [rng.integers(0, 4, len(t.split())) for t in texts]
+    out = lm.refine(logs, data, start, length, np.concatenate(counts), 50)
+    for i, t in enumerate(texts):
+        assert out[i] == pytest.approx(plain_refine(logs[start[i] : start[i] + length[i]], t, counts[i].tolist(), 50))
+
+
+def test_dictionary_grows_with_the_corpus(spark):
+    """Held-out texts of rare words: the more of them training texts have had, the likelier they are."""
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learned = [i for i in range(2000) if i not in set(held)]
+    rare = [f"q{zlib.crc32(str(k).encode()):x}" for k in range(3000)]
+    asked = [(held[j], " ".join(rare[60 * j : 60 * j + 60])) for j in range(20)]
+    filler = [(i, prose(random.Random(i), 30)) for i in learned[:100]]
+    told = [(learned[200 + j], " ".join(random.Random(j).sample(rare[60 * j : 60 * j + 60], 60))) for j in range(10)]
+    out = by_id(lm.score(spark.createDataFrame(filler + told + asked, "doc_id long, text string")))
+    per = [out[i]["bits_per_byte"] for i, _ in asked]
+    assert max(per[:10]) < min(per[10:])
+
+
 def test_fingerprints(docs, texts):
     out = by_id(fingerprints.compare(docs))
     order = sorted(texts, reverse=True) + [None]
