@@ -187,24 +187,24 @@ def test_lm_is_a_distribution():
 
 def plain_refine(logs, text, counts, tokens):
     """One text, word by word; ``logs`` has the bits' log10 probability of each byte and the end."""
-    total, answers, seen, at, counts = 0.0, 0.0, 0, 0, list(counts)
+    total, at, counts = sum(logs), 0, list(counts)
+    words, empty = [], []  # (by the bits, by the dictionary); words before each empty one
     for word in re.split(rb"[ \t\n\v\f\r]", text):
-        bits = 10 ** sum(logs[at : at + len(word)])
-        g = (1 + answers) / (2 + seen)
-        total += logs[at + len(word)]
+        if word:
+            letters = [chr(b) for b in word if chr(b).isascii() and chr(b).isalpha()]
+            capitals = sum(x.isupper() for x in letters)
+            case = 0.8 if not capitals else 0.15 if capitals == 1 and 65 <= word[0] <= 90 else 0.04 if capitals == len(letters) else 0.01 * 0.5 ** len(letters)
+            words.append((10 ** sum(logs[at : at + len(word)]), counts.pop(0) / (tokens + 1) * case))
+        else:
+            empty.append(len(words))
         at += len(word) + 1
-        if not word:
-            total += math.log10(1 - g)
-            continue
-        letters = [chr(b) for b in word if chr(b).isascii() and chr(b).isalpha()]
-        capitals = sum(x.isupper() for x in letters)
-        case = 0.8 if not capitals else 0.15 if capitals == 1 and 65 <= word[0] <= 90 else 0.04 if capitals == len(letters) else 0.01 * 0.5 ** len(letters)
-        listed = counts.pop(0) / (tokens + 1) * case
-        total += math.log10((1 - g) * bits + g * listed)
-        answers += listed / (listed + bits)
-        seen += 1
     assert not counts and at == len(text) + 1
-    return total
+    answers, share = [], lambda i: 0.5
+    for _ in range(lm.ROUNDS):
+        answers = [share(i) * d / (share(i) * d + (1 - share(i)) * b) for i, (b, d) in enumerate(words)]
+        share = lambda i, answers=answers: (lm.FIRST_SHARE + sum(answers[:i])) / (1 + i)
+    total += sum(math.log10((1 - share(i)) * b + share(i) * d) - math.log10(b) for i, (b, d) in enumerate(words))
+    return total + sum(math.log10(1 - share(i)) for i in empty)
 
 
 def test_dictionary_refines_like_a_plain_loop():
