@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import text as T
 from lexiforge.functions import urls as U
 from lexiforge.operators import ambiguity, dedup, frequency, graph, hierarchy, metadata, metrics, mining, pairs, validate, vectors
-from lexiforge.plans import contents, points
+from lexiforge.plans import contents, points, scoring
 from lexiforge.plans import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     """Name -> query over (spark, folder of the tables)."""
-    return _QUERIES | contents.QUERIES | points.QUERIES
+    return _QUERIES | contents.QUERIES | points.QUERIES | scoring.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL giving the same rows."""
-    return _SQL | contents.SQL | points.SQL
+    return _SQL | contents.SQL | points.SQL | scoring.SQL
 
 
 # --- frequency filters

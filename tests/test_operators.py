@@ -197,3 +197,31 @@ def test_likeness_in_parent_scores(spark):
     likeness = spark.createDataFrame([("Art", "x", 0.5), ("bio", "y", None)], "parent string, child string, likeness double")
     got = {(r["parent"], r["child"]): r["score"] for r in lookups.parent_scores(nodes, edges, sources, likeness).collect()}
     assert got == {("Art", "x"): 1 + 5 + 3 + 2 + 2, ("bio", "x"): 1 + 3 + 2, ("bio", "y"): 1 + 3 - 1}
+
+
+def test_token_set_ratio():
+    from lexiforge.operators.relevance import token_set_ratio
+
+    assert token_set_ratio("bear was fuzzy", "fuzzy fuzzy was a bear") == 100
+    assert token_set_ratio("", "a") == token_set_ratio(None, None) == 0
+    assert token_set_ratio("abc", "abd") == pytest.approx(100 * 4 / 6)
+    # common word "x": 1 - 2 / 6 by the rests "a" and "b"
+    assert token_set_ratio("x a", "x b") == pytest.approx(200 / 3)
+
+
+def test_relevance_of_web_contents(spark):
+    from lexiforge.operators import relevance as R
+
+    rows = [
+        (1, "Plant Biology", "The plant-biology lab", "intro to plant biology", "plant biology " + "x " * 198),
+        (2, "plant biology", "plant science", None, ""),
+        (3, "a b", "", "b", "a a a b"),
+        (4, None, "x", "y", "z"),
+    ]
+    df = spark.createDataFrame(rows, "i int, term string, title string, snippet string, content string")
+    out = {r["i"]: r["r"] for r in df.select("i", R.relevance(*map(F.col, ("term", "title", "snippet", "content"))).alias("r")).collect()}
+    # 200 words: one occurrence of each word, times 0.5 + 0.5 * 100 / 200
+    fuzzy = R.token_set_ratio("plant biology", "the plant-biology lab") / 100
+    assert out[1] == pytest.approx(0.5 * fuzzy + 0.3 + 0.2 * 0.75)
+    assert out[2] == pytest.approx(0.5 * max(0.5, R.token_set_ratio("plant biology", "plant science") / 100))
+    assert out[3] == pytest.approx(0.3 * R.token_set_ratio("a b", "b") / 100 + 0.2)
