@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
 from lexiforge.functions import urls as U
-from lexiforge.operators import ambiguity, frequency, graph, hierarchy, lookups, metadata, metrics, mining, pairs, vectors
+from lexiforge.operators import ambiguity, contents, frequency, graph, hierarchy, likeness, lookups, metadata, metrics, mining, pairs, vectors
 from lexiforge.sources import files
 from lexiforge.streaming import metrics as running
 
@@ -225,3 +225,28 @@ def test_relevance_of_web_contents(spark):
     assert out[1] == pytest.approx(0.5 * fuzzy + 0.3 + 0.2 * 0.75)
     assert out[2] == pytest.approx(0.5 * max(0.5, R.token_set_ratio("plant biology", "plant science") / 100))
     assert out[3] == pytest.approx(0.3 * R.token_set_ratio("a b", "b") / 100 + 0.2)
+
+
+def test_siblings_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [("x (1)", ""), ("x (2)", None), ("no tag", "w1 w2"), ("x (3)", "same Words here"), ("x (4)", "here words same"), ("x (5)", "only one"), ("x (5)", "only one"), ("y (5)", "only one")]
+    for i in range(60):
+        base = rng.integers(0, 40, 30)
+        for j in range(4):
+            base[: rng.integers(0, 6)] = rng.integers(0, 40 + 60 * i, 1)
+            rows.append((f"{'xyz'[i % 3]} ({100 + i * 4 + j - (j == 3)})", " ".join(f"w{k}" for k in base)))
+    made = [(t, t.split("(")[0].strip(), set((c or "").lower().split())) for t, c in rows if "(" in t]
+    expected = {}
+    for (s, x, a), (t, y, b) in itertools.permutations(made, 2):
+        if s != t and x == y and a and b and len(a & b) / len(a | b) >= 0.8:
+            expected[s] = max(expected.get(s, 0), len(a & b) / len(a | b))
+    out = contents.split_siblings(spark.createDataFrame(rows, "term string, content string"))
+    assert {r["term"]: r["likeness"] for r in out.collect()} == expected
+    assert len(set(expected.values())) > 5 and expected["x (3)"] == 1 and "x (5)" not in expected
+
+
+def test_siblings_that_differ_are_not_compared(spark):
+    """2,000 contents of one base with 20 words of their own and 20 common ones: no pair is listed."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.xxhash64(F.when(k < 20, k).otherwise(F.col("id") * 100 + k)))
+    sets = spark.range(2000).select(F.lit("b").alias("base"), "id", F.col("id").cast("string").alias("only"), F.array_sort(words).alias("words"))
+    assert likeness.candidates(sets, 0.8).count() == 0
