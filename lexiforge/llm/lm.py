@@ -18,9 +18,8 @@ its length it gives bits per byte.
   chance of its capitals).  The share of the dictionary is its mean responsibility for
   the words before, over the whole text; responsibilities follow from shares, in
   ``ROUNDS`` rounds.
-* Start weights are the mean of the last weights over the segments of one in
-  ``START_SHARE`` distinct training texts, a documented sample that grows with the
-  corpus; tasks send sums of weights, no texts.
+* Start weights follow from the same statistics, so from every training document: the
+  less an order alone loses on a place of the byte, the more of ``START`` it gets.
 * Texts are mixed in segments of ``SEGMENT`` bytes side by side; contexts reach across
   the borders of segments, weights start anew.  A text's score depends on the text and
   the model only, not on its neighbours.
@@ -57,7 +56,9 @@ SMOOTHING = 0.3
 RATE = 0.015
 SEGMENT = 1024
 MIX_BYTES = 4_000_000
-START_SHARE = 64
+#: Sum of the start weights of a bit's place, and the power by which a loss lowers a share.
+START = 1.2
+SHARPNESS = 4
 #: Text counted at once, in bytes.
 COUNT_BYTES = 4_000_000
 #: A chunk ends with this many distinct words or bytes of text.
@@ -130,6 +131,24 @@ def odds(counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
+def losses(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What the scaled log odds ``table`` lose on the bits of ``counts`` by (context, byte), in nats, a sum for each place."""
+    counts, out = counts.reshape(-1, 256), np.zeros(8)
+    x = table.reshape(-1, 256) / SCALE
+    for depth in range(8):
+        halves = counts.reshape(len(counts), 1 << depth, 2, -1).sum(3)
+        s = x[:, 1 << depth : 2 << depth]
+        out[depth] = (halves[:, :, 1] * np.log1p(np.exp(-s)) + halves[:, :, 0] * np.log1p(np.exp(s))).sum()
+    return out
+
+
+def start_weights(lost: np.ndarray) -> np.ndarray:
+    """Start weights by bit and order from the ``losses`` of all orders (a row each); even without any."""
+    lost = np.maximum(lost.T, 1e-9)
+    share = (lost.min(1, keepdims=True) / lost) ** SHARPNESS
+    return (START * share / share.sum(1, keepdims=True)).astype(np.float32)
+
+
 # --- mixing
 
 
@@ -378,12 +397,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
-    """Log odds of one block from the sum of its tables."""
+    """Log odds of one block from the sum of its tables, and what they lose on it."""
     total = np.zeros(CELLS // BLOCKS, np.int64)
     unpack = zstandard.ZstdDecompressor()
     for data in table.column("data"):
         total += _numbers(unpack.decompress(data.as_py()))
-    return pa.table([table.column("chunk").slice(0, 1).combine_chunks(), pa.array([odds(total).tobytes()], pa.binary())], names=["chunk", "odds"])
+    found = odds(total)
+    return pa.table([table.column("chunk").slice(0, 1).combine_chunks(), pa.array([found.tobytes()], pa.binary()), pa.array([losses(total, found).tobytes()], pa.binary())], names=["chunk", "odds", "lost"])
 
 
 def corpus_words(gathered: DataFrame) -> tuple[DataFrame, int, int]:
@@ -406,34 +426,15 @@ def score_texts(tables: np.ndarray, weights: np.ndarray, texts: list[bytes], lis
     return np.concatenate(out)
 
 
-def model(gathered: DataFrame) -> np.ndarray:
-    """Log odds by order and cell, from the statistics of all tasks."""
-    blocks = gathered.where("kind = 2").select("chunk", "data").groupBy("chunk").applyInArrow(_add_blocks, "chunk long, odds binary")
+def model(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds by order and cell, and start weights by bit and order, from the statistics of all tasks."""
+    blocks = gathered.where("kind = 2").select("chunk", "data").groupBy("chunk").applyInArrow(_add_blocks, "chunk long, odds binary, lost binary")
     tables = np.zeros((len(ORDERS) * BLOCKS, CELLS // BLOCKS), np.int8)
+    lost = np.zeros((len(ORDERS), BLOCKS, 8))
     for row in blocks.toLocalIterator():  # ORDERS times BLOCKS rows
         tables[row["chunk"]] = np.frombuffer(row["odds"], np.int8)
-    return tables.reshape(len(ORDERS), CELLS)
-
-
-def start_weights(rows: DataFrame, sent: object) -> np.ndarray:
-    """Weights by bit and order after mixing one in ``START_SHARE`` distinct training texts; even without any.
-
-    Copies count once, so a large group of them weighs no more than one text.
-    """
-    even = np.full((8, len(ORDERS)), 0.3, np.float32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in pieces(batches, limit=MIX_BYTES):
-            lanes = sum(-(-(len(t) + 1) // SEGMENT) for t in texts)
-            last = mix(sent.value, even, texts)[1].astype(np.float64).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(last.size)), pa.array(last * lanes), pa.array(np.full(last.size, lanes))], names=["place", "w", "n"])
-        give_back()
-
-    chosen = rows.where(F.col("train") & (F.pmod(F.xxhash64(F.lit("start"), "text_key"), F.lit(START_SHARE)) == 0))
-    sums = chosen.select("text_key", "text").dropDuplicates(["text_key"]).select("text").mapInArrow(run, "place long, w double, n long")
-    for row in sums.groupBy("place").agg((F.sum("w") / F.sum("n")).alias("w")).collect():  # 8 times ORDERS rows
-        even.reshape(-1)[row["place"]] = row["w"]
-    return even
+        lost[divmod(row["chunk"], BLOCKS)] = np.frombuffer(row["lost"])
+    return tables.reshape(len(ORDERS), CELLS), start_weights(lost.sum(1))
 
 
 SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
@@ -452,8 +453,8 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out()).alias("train"), F.col("text").cast("string").alias("text"))
     gathered = materialise(rows.mapInArrow(_gather, _ROWS_DDL), "lm", partition_by=["kind"])
     words, tokens, kinds = corpus_words(gathered)
-    sent = spark.sparkContext.broadcast(model(gathered))
-    weights = start_weights(rows.withColumn("text_key", F.xxhash64("text")), sent)
+    tables, weights = model(gathered)
+    sent = spark.sparkContext.broadcast(tables)
 
     def run(chunk: pa.Table, counts: pa.Table) -> pa.Table:
         idx, c = counts.column("idx").to_numpy(), counts.column("c").to_numpy()

@@ -221,6 +221,24 @@ def test_dictionary_refines_like_a_plain_loop():
         assert out[i] == pytest.approx(plain_refine(logs[start[i] : start[i] + length[i]], t, counts[i].tolist(), 50))
 
 
+def test_start_weights_follow_from_all_training_texts(spark):
+    """Each text that is learned moves them, and they are those of a count in one piece."""
+    texts = [f"{'abcdefghij'[i % 10] * 40} number {i}".encode() for i in range(60)]
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def plain(some):
+        counts = np.zeros((len(lm.ORDERS), lm.CELLS), np.int32)
+        lm.count(some, counts)
+        return lm.start_weights(np.stack([lm.losses(c.astype(np.int64), lm.odds(c)) for c in counts]))
+
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = docs.select("doc_id", (~lm.held_out()).alias("train"), "text").mapInArrow(lm._gather, lm._ROWS_DDL)
+    found = lm.model(rows)[1]
+    assert found == pytest.approx(plain(learned), rel=1e-5) and found.sum(1) == pytest.approx(np.full(8, lm.START), rel=1e-5)
+    assert all(np.abs(plain(learned[:i] + learned[i + 1 :]) - found).max() > 1e-6 for i in range(0, len(learned), 17))
+    assert lm.start_weights(np.zeros((len(lm.ORDERS), 8))) == pytest.approx(np.full((8, len(lm.ORDERS)), 0.3))
+
+
 def test_dictionary_grows_with_the_corpus(spark):
     """Held-out texts of rare words: the more of them training texts have had, the likelier they are."""
     held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
