@@ -59,6 +59,8 @@ MIX_BYTES = 4_000_000
 #: Sum of the start weights of a bit's place, and the power by which a loss lowers a share.
 START = 1.2
 SHARPNESS = 4
+#: Text refined by the dictionary at once, in bytes; its arrays take some 30 times as much.
+REFINE_BYTES = 500_000
 #: Text counted at once, in bytes.
 COUNT_BYTES = 4_000_000
 #: A chunk ends with this many distinct words or bytes of text.
@@ -308,11 +310,11 @@ def numbered(text: bytes, known: defaultdict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
-def _runs(texts: list[bytes]) -> Iterator[slice]:
-    """Runs of texts with at most ``MIX_BYTES``, or one text."""
+def _runs(texts: list[bytes], limit: int = MIX_BYTES) -> Iterator[slice]:
+    """Runs of texts with at most ``limit`` bytes, or one text."""
     start = held = 0
     for i, text in enumerate(texts):
-        if i > start and held + len(text) > MIX_BYTES:
+        if i > start and held + len(text) > limit:
             yield slice(start, i)
             start, held = i, 0
         held += len(text)
@@ -416,13 +418,19 @@ def corpus_words(gathered: DataFrame) -> tuple[DataFrame, int, int]:
     return words.select("chunk", "idx", "c"), int(sums["n"] or 0), int(sums["v"] or 0)
 
 
-def score_texts(tables: np.ndarray, weights: np.ndarray, texts: list[bytes], listed: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each text; ``listed`` as in ``refine``, for each text."""
+def score_texts(tables: np.ndarray, weights: np.ndarray, texts: list[bytes], words: list[np.ndarray], chance: np.ndarray) -> np.ndarray:
+    """log10 probability of each text; ``words`` are its words as numbers, ``chance`` the dictionary's log (base e) by number.
+
+    Texts are mixed in long runs, for speed, and refined in short ones, for memory.
+    """
     out = [np.zeros(0)]
     for run in _runs(texts):
         data, start, length = laid_out(texts[run])
         logs, _ = places(tables, weights, data, start, length)
-        out.append(refine(logs, data, start, length, np.concatenate(listed[run])))
+        for part in _runs(texts[run], REFINE_BYTES):
+            low, high = int(start[part][0]) - PAD, int(start[part][-1] + length[part][-1])
+            listed = chance[np.concatenate(words[run][part])]
+            out.append(refine(logs[low:high], data[low:high], start[part] - low, length[part], listed))
     return np.concatenate(out)
 
 
@@ -464,13 +472,14 @@ def score(docs: DataFrame) -> DataFrame:
         known = numbers()
         words = [numbered(t, known) for t in texts]
         del known
+        give_back()
         n = np.array([len(x) + 1 for x in words])
         hits = np.array([np.count_nonzero(of[x]) for x in words]) + (of[0] > 0)
         logs = np.log10(of + 1.0)
         base = np.array([logs[x].sum() for x in words]) + logs[0] - n * np.log10(float(tokens + kinds + 1))
         with np.errstate(divide="ignore"):
             chance = np.log(of / (tokens + 1.0))
-        logs = score_texts(sent.value, weights, texts, [chance[x] for x in words])
+        logs = score_texts(sent.value, weights, texts, words, chance)
         bits = -logs / np.log10(2) / np.array([len(t) + 1 for t in texts])
         give_back()
         values = [pa.array(ids, pa.int64()), pa.array([not x for x in train]), pa.array(n), pa.array(hits), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(logs), pa.array(bits)]

@@ -239,6 +239,18 @@ def test_start_weights_follow_from_all_training_texts(spark):
     assert lm.start_weights(np.zeros((len(lm.ORDERS), 8))) == pytest.approx(np.full((8, len(lm.ORDERS)), 0.3))
 
 
+def test_short_runs_refine_like_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    tables = np.stack([lm.odds(c) for c in rng.integers(0, 3, (len(lm.ORDERS), lm.CELLS), dtype=np.int32)])
+    weights, texts = np.full((8, len(lm.ORDERS)), 0.3, np.float32), [b"One two  three", b"", b" ", b"two Two TWO " * 200, b"three"]
+    known = lm.numbers()
+    words = [lm.numbered(t, known) for t in texts]
+    chance = np.log(np.linspace(0.01, 0.2, len(known)))
+    whole = lm.score_texts(tables, weights, texts, words, chance)
+    monkeypatch.setattr(lm, "REFINE_BYTES", 15)
+    assert lm.score_texts(tables, weights, texts, words, chance) == pytest.approx(whole)
+
+
 def test_dictionary_grows_with_the_corpus(spark):
     """Held-out texts of rare words: the more of them training texts have had, the likelier they are."""
     held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
