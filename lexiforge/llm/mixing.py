@@ -10,7 +10,9 @@
    draws half of a node's blocks without replacement, so the counts of the sources in
    a half follow the multivariate hypergeometric distribution and add up exactly.
 4. Each shard takes its quota as a run of the source's permuted blocks; the runs are
-   disjoint.  Rows of a shard are then shuffled locally.  The number of shards follows
+   disjoint.  The passes over a block follow one another, so all but a block at the
+   border of two runs go to one shard, and their texts are sent once.  Rows of a shard
+   are then shuffled locally.  The number of shards follows
    the size of the mix (``SHARD_WORDS``).
 
 Only DataFrame and SQL functions are used.  The texts are read once for their sizes;
@@ -188,7 +190,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOT
         shards = max(SHARDS, _power(int(aims.agg(F.sum("target")).first()[0] or 0) // SHARD_WORDS))
     taken = quotas(blocks, aims).where("times > 0")
     taken = taken.select("source", "nth", "block", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass"))
-    order = Window.partitionBy("nth").orderBy(F.xxhash64(F.lit("draw"), "source", "block", "pass"), "block", "pass")
+    order = Window.partitionBy("nth").orderBy(F.xxhash64(F.lit("draw"), "source", "block"), "block", "pass")
     taken = materialise(taken.withColumn("draw", F.row_number().over(order)), "mixing-draws")
     shares = split_tree(taken.groupBy("nth").agg(F.count("*").alias("blocks")), shards)
     # a source without draws has no entry in the tree: nth here is the order among those that have
@@ -238,12 +240,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
     """
     rows, blocks = sizes(docs)
     _, draws, shards = plan(rows, weights, total, shards)
-    drawn = draws.groupBy("source", "block").agg(F.collect_list(F.struct("pass", "shard")).alias("draws"))  # MAX_REPEAT entries at most
+    drawn = draws.groupBy("source", "block", "shard").agg(F.collect_list("pass").alias("passes"))  # MAX_REPEAT entries at most
+    drawn = drawn.groupBy("source", "block").agg(F.collect_list(F.struct("passes", "shard")).alias("draws"))
     packed = docs.select(F.struct("*").alias("row"), "source", block_of(place_of(), blocks).alias("block"), F.col("doc_id").alias("id"))
     rows = packed.alias("p").join(drawn.alias("d"), F.col("p.source").eqNullSafe(F.col("d.source")) & (F.col("p.block") == F.col("d.block")))
     rows = rows.select("row", "id", F.inline("draws"))
     return (
         rows.repartitionById(shards, F.col("shard").cast("int"))
+        .select("row", "id", "shard", F.explode("passes").alias("pass"))  # repeated only where they are mixed
         .sortWithinPartitions("shard", F.xxhash64(F.lit("local order"), "id", "pass"))
         .select("row.*")
     )

@@ -139,6 +139,15 @@ def test_mixing(spark, docs, texts):
     assert n == {i: r["taken"] // r["size"] for i, r in first.items() if r["taken"]}
 
 
+def test_passes_of_a_block_share_a_shard(spark):
+    """Texts are sent once for each shard that takes them: once, but for a block at each border."""
+    rows = spark.createDataFrame([(f"s{i % 3}", i, 10) for i in range(1536)], "source string, block int, size int")
+    _, draws, shards = mixing.plan(rows)
+    apart = draws.groupBy("source", "block").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("shards"))
+    assert apart.where("n > 1").count() > 500
+    assert apart.where("shards > 1").count() <= 3 * (shards - 1)
+
+
 def test_split_tree_is_exact(spark):
     counts = spark.createDataFrame([(0, 100), (1, 7), (2, 0), (3, 401)], "nth int, blocks long")
     rows = mixing.split_tree(counts, 8).collect()
