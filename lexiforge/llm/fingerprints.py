@@ -32,7 +32,8 @@ RANGE = 1024
 #: that the cells of a task's texts stay in memory.
 TASKS = 100_000
 #: Cuts of a text into paragraphs: lines, and marks that follow one of some letters.
-CUT = r"\n+|(?<=[A-Ha-h][.!?,;#*$%&<>]{1,4}) | \| "
+#: The space is matched before what precedes it, which is costly to look at.
+CUT = r"\n+| (?<=[A-Ha-h][.!?,;#*$%&<>]{1,4} )| \| "
 
 #: Kinds of rows: what is compared, or what a fingerprint is made of.
 TO_EDITED, TO_NEXT, OWN, EDITED, INFO = 1, 2, 3, 4, 0
@@ -100,7 +101,7 @@ def digests(text: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next, the text of the next row in descending id (the first follows the last).
+    """doc_id, text and next, the text of the next row in descending id (the first follows the last), with their digests a and b.
 
     span and nth, the range of the id and the place in it, tell the rows apart.
 
@@ -120,9 +121,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     ends = following.join(heads.withColumnRenamed("span", "after"), "after").select("span", "head")
     near = Window.partitionBy("span").orderBy(*order)
     rows = rows.repartition(max(1, min(tops.count(), TASKS)), "span")
-    placed = rows.withColumn("next", F.lead("text").over(near)).withColumn("nth", F.row_number().over(near))
+    rows = rows.withColumn("a", digests(F.col("text")))  # a text is cut once, for itself and as the next one
+    placed = rows.select("*", F.lead("text").over(near).alias("next"), F.lead("a").over(near).alias("b"), F.row_number().over(near).alias("nth"))
     # merged, not broadcast: the rows stay dealt by span, and nothing after this shuffles
-    return placed.join(ends.hint("merge"), "span").select("span", "nth", "doc_id", "text", F.coalesce("next", "head").alias("next"))
+    return placed.join(ends.hint("merge"), "span").select("span", "nth", "doc_id", "text", F.coalesce("next", "head").alias("next"), "a", F.coalesce("b", digests(F.col("head"))).alias("b"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -140,9 +142,9 @@ def compare(docs: DataFrame) -> DataFrame:
         "span",
         "nth",
         F.struct("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")).alias("doc"),
-        digests(F.col("text")).alias("a"),
+        "a",
         digests(F.col("edited")).alias("e"),
-        digests(F.col("next")).alias("b"),
+        "b",
     )
     info = F.struct("doc.*", F.size("a").alias("a"), F.size("e").alias("e"), F.size("b").alias("b"))
     nothing = F.lit(None).cast(rows.select(info.alias("i")).schema["i"].dataType)

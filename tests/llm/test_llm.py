@@ -291,6 +291,16 @@ def test_fingerprints(docs, texts):
     assert out[6]["fingerprint"] == out[7]["fingerprint"]
 
 
+def test_texts_are_cut_once_and_at_the_same_places(spark):
+    """The next text's digests come from that text's row; the pattern cuts like the plainer one."""
+    odd = ["a. b; c", "x. y", "ha!!!!! no", "ha!!!! yes", "\n\na | b |  c. d", "b? ", " a,  b", "", None]
+    docs = spark.createDataFrame([(i * 700, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    plain = r"\n+|(?<=[A-Ha-h][.!?,;#*$%&<>]{1,4}) | \| "
+    cut = lambda c: F.array_distinct(F.transform(F.filter(F.split(c, plain), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    rows = fingerprints.with_next(docs).select("a", "b", cut("text").alias("x"), cut("next").alias("y")).collect()
+    assert len(rows) == len(odd) and all(r["a"] == r["x"] and r["b"] == r["y"] for r in rows)
+
+
 def test_jaccard(docs, texts):
     out = by_id(jaccard.join(docs))
     assert {i: r["component_id"] for i, r in out.items()} == brute.components(list(texts.items()))
