@@ -20,6 +20,8 @@ its length it gives bits per byte.
   ``ROUNDS`` rounds.
 * Start weights follow from the same statistics, so from every training document: the
   less an order alone loses on a place of the byte, the more of ``START`` it gets.
+* The odds of a byte's eight decisions follow from the text alone, and each has weights
+  of its own: all eight are mixed side by side.
 * Texts are mixed in segments of ``SEGMENT`` bytes side by side; contexts reach across
   the borders of segments, weights start anew.  A text's score depends on the text and
   the model only, not on its neighbours.
@@ -55,14 +57,16 @@ SCALE = 12.0
 SMOOTHING = 0.3
 RATE = 0.015
 SEGMENT = 1024
-MIX_BYTES = 4_000_000
+#: Steps of a segment whose bytes and contexts are read at once.
+STRIP = 16
+MIX_BYTES = 2_000_000
 #: Sum of the start weights of a bit's place, and the power by which a loss lowers a share.
 START = 1.2
 SHARPNESS = 4
 #: Text refined by the dictionary at once, in bytes; its arrays take some 30 times as much.
 REFINE_BYTES = 500_000
 #: Text counted at once, in bytes.
-COUNT_BYTES = 4_000_000
+COUNT_BYTES = 1_000_000
 #: A chunk ends with this many distinct words or bytes of text.
 CHUNK_WORDS = 400_000
 CHUNK_BYTES = 24_000_000
@@ -76,7 +80,9 @@ ROUNDS = 4
 #: Tasks that score chunks at most.
 TASKS = 50_000
 PAD = max(ORDERS)
-SIGNS = np.array([-1, 1], np.float32)
+#: For each bit of a byte: the cell that has its odds, and a row of signs by byte.
+PATHS = np.array([[(byte | 256) >> (8 - j) for byte in range(256)] for j in range(8)])
+SIGNS = np.array([[1 if byte >> (7 - j) & 1 else -1 for byte in range(256)] for j in range(8)], np.float32)
 
 
 def held_out() -> Column:
@@ -117,9 +123,11 @@ def count(texts: list[bytes], into: np.ndarray) -> None:
     used = np.ones(len(data), bool)
     for back in range(1, PAD + 1):
         used[start - back] = False
-    byte = data[used].astype(np.int32)
+    byte = data[used]
     for row, context in zip(into, contexts(data)):
-        np.add(row, np.bincount((context[used].astype(np.int32) << 8) | byte, minlength=CELLS), out=row, casting="unsafe")
+        cell = np.left_shift(context[used], 8, dtype=np.int64)
+        cell |= byte
+        np.add.at(row, cell, row.dtype.type(1))
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
@@ -165,7 +173,8 @@ def places(tables: np.ndarray, weights: np.ndarray, data: np.ndarray, start: np.
     """log10 probability of each byte of texts that are ``laid_out`` (0 between them), and the mean of the segments' last weights.
 
     ``tables`` has the log odds by order and cell, ``weights`` the start weights by bit
-    and order.
+    and order.  A bit has weights of its own and its odds follow from the text alone, so
+    the eight decisions of a byte are mixed at once: arrays have eight rows of lanes.
     """
     hashed = contexts(data)
     parts = -(-length // SEGMENT)
@@ -179,45 +188,50 @@ def places(tables: np.ndarray, weights: np.ndarray, data: np.ndarray, start: np.
     active = lanes - np.searchsorted(size[::-1], np.arange(SEGMENT), side="right")
     # weights of the scaled odds; arrays of the loop are kept, a view for each number of lanes
     unit = np.float32(1 / SCALE)
-    w = np.repeat((weights.astype(np.float32) * unit)[:, :, None], lanes, axis=2)
+    w = np.repeat((weights.astype(np.float32).T * unit)[:, :, None], lanes, axis=2)
     logs = np.zeros(len(data))
-    flat, rate = tables.reshape(-1), np.float32(RATE) * unit * unit
-    rows = (np.arange(k) * CELLS)[:, None]
-    room = [np.empty(k * lanes, x) for x in (np.int64, np.int64, np.int8, np.float32)]
-    lane = [np.empty(lanes, np.float32) for _ in range(4)]
-    for t in range(SEGMENT):
-        m = int(active[t])
-        if not m:
-            break
-        at = first[:m] + t
-        byte = data[at]
-        base, cell, stored, s = (x[: k * m].reshape(k, m) for x in room)
-        dot, sign, other, chance = (x[:m] for x in lane)
-        np.copyto(base, hashed[:, at])
-        base <<= 8
+    rate = np.float32(RATE) * unit * unit
+    flat, rows = tables.reshape(-1), (np.arange(k) * CELLS)[:, None, None]
+    room = [np.empty(8 * k * lanes, x) for x in (np.int64, np.int8, np.float32)]
+    lane = [np.empty(8 * lanes, np.float32) for _ in range(3)]
+    for t0 in range(0, int(size.max(initial=0)), STRIP):
+        # a strip of all lanes is read in the order of the text, then turned
+        m = int(active[t0])
+        at = (first[:m] + t0)[:, None] + np.arange(STRIP)
+        base = np.left_shift(hashed.take(at, axis=1, mode="clip"), 8, dtype=np.int64)
         base += rows
-        path = byte.astype(np.int64) | 256
-        chance[:] = 1
-        for bit in range(7, -1, -1):
-            np.add(base, path >> (bit + 1), out=cell)
+        base = np.ascontiguousarray(base.transpose(2, 0, 1))
+        byte = np.ascontiguousarray(data.take(at, mode="clip").T)
+        chance = np.ones((STRIP, m), np.float32)
+        for t in range(t0, min(t0 + STRIP, SEGMENT)):
+            m = int(active[t])
+            if not m:
+                break
+            cell, stored, s = (x[: 8 * k * m].reshape(k, 8, m) for x in room)
+            dot, sign, other = (x[: 8 * m].reshape(8, m) for x in lane)
+            came = byte[t - t0, :m]
+            PATHS.take(came, axis=1, out=cell[0], mode="clip")
+            SIGNS.take(came, axis=1, out=sign, mode="clip")
+            for i in range(k - 1, -1, -1):
+                np.add(cell[0], base[t - t0, i, :m], out=cell[i])
             flat.take(cell, out=stored, mode="clip")
             np.copyto(s, stored)
-            now = w[7 - bit, :, :m]
-            np.einsum("ij,ij->j", now, s, out=dot)
-            np.clip(dot, -11, 11, out=dot)
-            SIGNS.take((byte >> bit) & 1, out=sign, mode="clip")
+            now = w[:, :, :m]
+            np.einsum("ijl,ijl->jl", now, s, out=dot)
             dot *= sign
+            np.clip(dot, -11, 11, out=dot)
             np.exp(dot, out=dot)  # odds of the bit that came
             np.add(dot, 1, out=other)
             np.reciprocal(other, out=other)  # chance of the other bit: the error
             dot *= other
-            chance *= dot
+            sign *= rate
             other *= sign
-            other *= rate
             s *= other
             now += s
-        logs[at] = np.log10(chance)
-    return logs, w.mean(2) / unit if lanes else weights
+            np.multiply.reduce(dot, axis=0, out=chance[t - t0, :m])
+        inside = np.arange(t0, t0 + STRIP) < size[: len(at), None]
+        logs[at[inside]] = (np.log(chance) * np.float32(np.log10(np.e))).T[inside]
+    return logs, w.mean(2).T / unit if lanes else weights
 
 
 def capitals(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -353,8 +367,12 @@ class _Chunk:
             np.array([i is None for i in self.ids]),
             np.array(self.train, np.bool_),
         ]
-        packed = b"".join([*(x.tobytes() for x in head), *self.texts])
-        yield _row(0, self.number, zstandard.ZstdCompressor(level=1).compress(packed))
+        head = b"".join(x.tobytes() for x in head)
+        press = zstandard.ZstdCompressor(level=1).compressobj(size=len(head) + self.bytes)
+        packed = [press.compress(head), *map(press.compress, self.texts), press.flush()]
+        self.texts, self.learned = [], []  # a chunk gives its rows once
+        yield _row(0, self.number, b"".join(packed))
+        del packed
         columns = [pa.array(np.ones(n, np.int32)), pa.array(np.full(n, self.number)), pa.array(list(self.words), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(learned), pa.nulls(n, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
 
@@ -377,6 +395,7 @@ def _row(kind: int, number: int, data: bytes) -> pa.RecordBatch:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of tokens (kind 0), their words (kind 1) and blocks of byte statistics (kind 2)."""
+    give_back()  # what an earlier stage has left
     task, chunks = TaskContext.get().partitionId(), 0
     tables = np.zeros((len(ORDERS), CELLS), np.int32)
     chunk = _Chunk(task << 20)
@@ -389,8 +408,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from chunk.rows()
                 chunks += 1
                 chunk = _Chunk((task << 20) + chunks)
+                give_back()
     if chunk.ids:
         yield from chunk.rows()
+    del chunk
+    give_back()
     press = zstandard.ZstdCompressor(level=1)
     for i, row in enumerate(tables):
         for j, block in enumerate(row.reshape(BLOCKS, -1)):

@@ -194,6 +194,44 @@ def test_lm_is_a_distribution():
     assert alone[0] == pytest.approx(among[1])
 
 
+def plain_mix(tables, weights, text):
+    """log10 probability of one text, bit by bit."""
+    total, data = 0.0, bytes(lm.PAD) + text + b"\0"
+    hashed = lm.contexts(np.frombuffer(data, np.uint8))
+    for i in range(lm.PAD, len(data)):
+        if (i - lm.PAD) % lm.SEGMENT == 0:
+            w = weights.astype(float)
+        for bit in range(8):
+            path = (data[i] | 256) >> (8 - bit)
+            s = np.array([tables[k, int(hashed[k, i]) * 256 + path] / lm.SCALE for k in range(len(lm.ORDERS))])
+            p = 1 / (1 + math.exp(-min(max(w[bit] @ s, -11), 11)))
+            came = data[i] >> (7 - bit) & 1
+            w[bit] += lm.RATE * (came - p) * s
+            total += math.log10(p if came else 1 - p)
+    return total
+
+
+class Counted(np.ndarray):
+    calls = 0
+
+    def take(self, *args, **kwargs):
+        Counted.calls += 1
+        return np.asarray(self).take(*args, **kwargs)
+
+
+def test_bits_mix_like_a_plain_loop():
+    """Segments, strips and ends of all lengths; a step looks up the eight decisions of its bytes at once."""
+    rng = np.random.default_rng(4)
+    tables = np.stack([lm.odds(c) for c in rng.integers(0, 3, (len(lm.ORDERS), lm.CELLS), dtype=np.int32)])
+    weights = rng.random((8, len(lm.ORDERS)))
+    texts = [b"", b"\0", b"a", b"abcdefghijklmno", b"abcdefghijklmnop", "é ü".encode() * 40, *(bytes(rng.integers(0, 256, n).tolist()) for n in (1022, 1023, 1024, 1040, 2100)), b"x" * 300]
+    Counted.calls = 0
+    logs, _ = lm.mix(tables.view(Counted), weights, texts)
+    assert logs == pytest.approx([plain_mix(tables, weights, t) for t in texts], rel=1e-5)
+    assert Counted.calls == lm.SEGMENT
+    assert lm.mix(tables, weights, [])[0].size == 0
+
+
 def plain_refine(logs, text, counts, tokens):
     """One text, word by word; ``logs`` has the bits' log10 probability of each byte and the end."""
     total, at, counts = sum(logs), 0, list(counts)
